@@ -8,10 +8,13 @@ shift that takes both into D. So of two equal runs of a + v - 1 words, whatever
 pair of equal *anchors* (a words) starts at i + s and j + s with both places in D modulo v: anchors at cover
 places alone (6 of 31) find every repeat. Steps:
 
-1. anchors of every text; an anchor repeated inside a task is known to be shared there and only one of its
-   rows goes on to be compared, so one value brings at most one row per task to the task that compares it;
+1. anchors of every text; an anchor of several documents of a batch is known to be shared there and only one
+   of its rows goes on to be compared;
 2. documents with a shared anchor extend it: each window that holds a shared anchor is hashed;
-3. the least doc_id of each window hash; a document loses the windows of which it isn't the least.
+3. a document loses the windows of whose hash it isn't the least document; inside a batch that is known at
+   once, so only each hash's least document of a batch is compared with those of other batches.
+
+One value thus brings at most one document per batch to the task that compares it, however many hold it.
 
 No pairs of documents are made: rows grow with shared words, not with the square of a group.
 Null texts have no words; repeated rows of one doc_id are one document; texts shorter than a window are kept;
@@ -63,11 +66,36 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def _packed(h: np.ndarray, doc: np.ndarray, place: np.ndarray, known_if: str) -> Iterator:
+    """Rows (key, hash, doc, place, known) of a batch, of which at most one document's a hash must be compared.
+
+    ``known_if`` says what the batch decides by itself: ``shared``, a hash of several documents; ``later``, a
+    row whose document isn't the least of its hash here. Known rows have a scattered key; of a shared hash one
+    row keeps the hash as its key, so that other batches learn of it.
+    """
+    import pyarrow as pa
+
+    order = np.lexsort((place, doc, h))
+    doc, place, h = doc[order], place[order], h[order]
+    new, first, group = _groups(h)
+    last = np.append(first[1:], len(h)) - 1
+    known = (doc[first] != doc[last])[group] if known_if == "shared" else doc != doc[first][group]
+    away = known & ~new
+    key = np.where(away, mix(h + (np.arange(len(h), dtype=U) + U(1)) * U(0x9E3779B97F4A7C15)), h)
+    for s in range(0, len(h), 1 << 17):
+        part = slice(s, s + (1 << 17))
+        yield pa.RecordBatch.from_arrays([pa.array(_signed(key[part])), pa.array(_signed(h[part])), pa.array(doc[part]), pa.array(place[part]), pa.array(known[part])], names=["key", "hash", "doc_id", "place", "known"])
+
+
+def _groups(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of sorted values: where a new one starts, as flags and as places, and each row's group."""
+    new = np.ones(len(h), bool)
+    new[1:] = h[1:] != h[:-1]
+    return new, np.flatnonzero(new), np.cumsum(new) - 1
+
+
 def _emit_anchors(window: int):
     def run(batches: Iterator) -> Iterator:
-        """Rows (key, hash, doc, place, shared). A shared row that needs no comparing has a scattered key."""
-        import pyarrow as pa
-
         for batch in batches:
             docs, places, hashes = [], [], []
             for rows in blocks(rows_of(batch, "doc_id")):
@@ -76,61 +104,43 @@ def _emit_anchors(window: int):
                 docs.append(ids[w.doc[at]])
                 places.append(place.astype(np.int32))
                 hashes.append(h)
-            if not docs:
-                continue
-            doc, place, h = map(np.concatenate, (docs, places, hashes))
-            order = np.lexsort((doc, h))
-            doc, place, h = doc[order], place[order], h[order]
-            new = np.ones(len(h), bool)
-            new[1:] = h[1:] != h[:-1]
-            first = np.flatnonzero(new)
-            group = np.cumsum(new) - 1
-            last = np.append(first[1:], len(h)) - 1
-            shared = (doc[first] != doc[last])[group] if len(h) else new
-            # a value found in one document only goes to the comparison once; its other places follow its fate
-            key = np.where(shared & ~new, mix(h + (np.arange(len(h), dtype=U) + U(1)) * U(0x9E3779B97F4A7C15)), h)
-            for s in range(0, len(h), 1 << 17):
-                part = slice(s, s + (1 << 17))
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(key[part])), pa.array(_signed(h[part])), pa.array(doc[part]), pa.array(place[part]), pa.array(shared[part])], names=["key", "hash", "doc_id", "place", "shared"])
+            if docs:
+                yield from _packed(np.concatenate(hashes), np.concatenate(docs), np.concatenate(places), "shared")
 
     return run
 
 
-def _shared_anchors(batches: Iterator) -> Iterator:
-    """Of a partition that holds all rows to compare of its keys: (doc, places) of shared anchors."""
-    import pyarrow as pa
+def _compared(keep: str):
+    def run(batches: Iterator) -> Iterator:
+        """Of a partition that holds all rows to compare of its keys: (doc, place) of the rows that are known
+        or turn out ``shared`` or ``later``."""
+        import pyarrow as pa
 
-    got = [(b.column("hash").to_numpy(), b.column("doc_id").to_numpy(), b.column("place").to_numpy(), b.column("shared").to_numpy(zero_copy_only=False)) for b in batches]
-    if not got:
-        return
-    h, doc, place, shared = (np.concatenate(x) for x in zip(*got, strict=True))
-    del got
-    order = np.lexsort((doc, h))
-    h, doc, place, shared = h[order], doc[order], place[order], shared[order]
-    new = np.ones(len(h), bool)
-    new[1:] = h[1:] != h[:-1]
-    first = np.flatnonzero(new)
-    group = np.cumsum(new) - 1
-    last = np.append(first[1:], len(h)) - 1
-    known = (doc[first] != doc[last]) | (np.add.reduceat(shared.astype(np.int64), first) > 0)
-    keep = known[group]
-    doc, place = doc[keep], place[keep]
-    order = np.argsort(doc, kind="stable")
-    doc, place = doc[order], place[order]
-    cut = np.flatnonzero(np.diff(doc)) + 1
-    ids = doc[np.concatenate(([0], cut))] if len(doc) else doc
-    for s in range(0, len(ids), 5000):
-        lists = np.split(place, cut)[s : s + 5000]
-        yield pa.RecordBatch.from_arrays([pa.array(ids[s : s + 5000]), pa.array([x.astype("<i4").tobytes() for x in lists], pa.binary())], names=["doc_id", "places"])
+        got = [(b.column("hash").to_numpy(), b.column("doc_id").to_numpy(), b.column("place").to_numpy(), b.column("known").to_numpy(zero_copy_only=False)) for b in batches]
+        if not got:
+            return
+        h, doc, place, known = (np.concatenate(x) for x in zip(*got, strict=True))
+        del got
+        order = np.lexsort((doc, h))
+        h, doc, place, known = h[order], doc[order], place[order], known[order]
+        new, first, group = _groups(h)
+        if keep == "shared":
+            last = np.append(first[1:], len(h)) - 1
+            right = ((doc[first] != doc[last]) | (np.add.reduceat(known.astype(np.int64), first) > 0))[group]
+        else:
+            right = known | (doc != doc[first][group])
+        doc, place = doc[right], place[right]
+        for s in range(0, len(doc), 1 << 17):
+            yield pa.RecordBatch.from_arrays([pa.array(doc[s : s + (1 << 17)]), pa.array(place[s : s + (1 << 17)])], names=["doc_id", "place"])
+
+    return run
 
 
 def _emit_windows(window: int):
     a = cover_for(window)[2]
 
     def run(batches: Iterator) -> Iterator:
-        """Windows that hold a shared anchor: one row per (document, block), hashes and starts packed."""
-        import pyarrow as pa
-
+        """Windows that hold a shared anchor."""
         for batch in batches:
             hs, ds, ps = [], [], []
             for rows in blocks(rows_of(batch, "doc_id", "places")):
@@ -138,7 +148,7 @@ def _emit_windows(window: int):
                 n = len(w.hashes)
                 edge = np.zeros(n + 1, np.int64)
                 for j, (_, places, _) in enumerate(rows):
-                    p = np.concatenate([np.frombuffer(x, "<i4") for x in places]).astype(np.int64) + w.first[j]
+                    p = np.array(places, np.int64) + w.first[j]
                     np.add.at(edge, np.maximum(p + a - window, w.first[j]), 1)
                     np.add.at(edge, p + 1, -1)
                 at = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
@@ -148,10 +158,8 @@ def _emit_windows(window: int):
                 hs.append(w.hash_at(at, window))
                 ds.append(ids[w.doc[at]])
                 ps.append((at - w.first[w.doc[at]]).astype(np.int32))
-            h, d, p = map(np.concatenate, (hs, ds, ps))
-            for s in range(0, len(h), 1 << 17):
-                part = slice(s, s + (1 << 17))
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(h[part])), pa.array(d[part]), pa.array(p[part])], names=["hash", "doc_id", "place"])
+            if hs:
+                yield from _packed(np.concatenate(hs), np.concatenate(ds), np.concatenate(ps), "later")
 
     return run
 
@@ -160,12 +168,11 @@ def repeated_windows(docs: DataFrame, window: int = 50) -> DataFrame:
     """(doc_id, place) of every window that also starts in a document with a smaller doc_id."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
     n = partitions(docs.sparkSession)
-    found = rows.mapInArrow(_emit_anchors(window), "key long, hash long, doc_id long, place int, shared boolean")
-    shared = found.repartition(n, "key").drop("key").mapInArrow(_shared_anchors, "doc_id long, places binary")
-    shared = materialize(shared.groupBy("doc_id").agg(F.collect_list("places").alias("places")), "substring-anchors")
-    windows = materialize(rows.join(shared, "doc_id").select("doc_id", "places", "text").mapInArrow(_emit_windows(window), "hash long, doc_id long, place int"), "substring-windows")
-    least = windows.groupBy("hash").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").drop("most")
-    return windows.join(least, "hash").filter(F.col("doc_id") > F.col("least")).select("doc_id", "place")
+    kinds = "key long, hash long, doc_id long, place int, known boolean"
+    compare = lambda found, keep: found.repartition(n, "key").drop("key").mapInArrow(_compared(keep), "doc_id long, place int")
+    shared = compare(rows.mapInArrow(_emit_anchors(window), kinds), "shared")
+    shared = materialize(shared.groupBy("doc_id").agg(F.collect_set("place").alias("places")), "substring-anchors")
+    return compare(rows.join(shared, "doc_id").select("doc_id", "places", "text").mapInArrow(_emit_windows(window), kinds), "later")
 
 
 def _finish(window: int, with_text: bool):
