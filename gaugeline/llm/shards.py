@@ -1,8 +1,8 @@
 """Sharding by balanced label propagation, in DataFrame operations only.
 
 Documents of equal text are linked. Every document starts in the shard of its id's hash. In each round a group
-looks at the shards its documents are in: those with room attract the others, the fullest of the group's
-shards first; moves into a shard are accepted up to its quota, whole groups where they fit and document by
+looks at the shards its documents are in: of those with room, the one with most of the group attracts the
+documents that sit where there are fewer; moves into a shard are accepted up to its quota, whole groups where they fit and document by
 document where one group alone is over the quota. Counts by (group, shard) are partial aggregates and come
 back by a join, so a group may hold any share of all rows. At the end shards are brought to counts at most
 one apart (law ``rows``): documents beyond a shard's quota, unlinked ones first, fill the gaps of others.
@@ -40,17 +40,18 @@ def propagate(linked: DataFrame, shards: int, capacity: int, rounds: int) -> Dat
         at = materialize(at, "shard-counts")
         load = at.groupBy("shard").agg(F.sum("k").alias("load"))
         room = F.broadcast(at.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard")).join(load, "shard", "left").select("shard", F.greatest(F.lit(0), capacity - F.coalesce("load", F.lit(0))).alias("room")))
-        group = at.groupBy("group").agg(F.sum("k").alias("m"))
-        # a group's goal: of its shards, the one that has most of it, then the one with room
-        ranked = at.join(room, "shard").withColumn("rank", F.col("k") * F.when(F.col("room") > 0, 2).otherwise(1) * 1.0 + _unit(F.lit(step), F.col("group"), F.col("shard")) / 2)
-        goal = ranked.groupBy("group").agg(F.max_by("shard", "rank").alias("goal"), F.max_by("k", "rank").alias("there")).join(group, "group").filter("m > there")
-        asked = goal.groupBy("goal").agg(F.sum(F.col("m") - F.col("there")).alias("asked"))
+        # a group's goal: of its shards with room, the one that has most of it; rows move there from those with less
+        ranked = at.join(room, "shard").filter("room > 0").withColumn("rank", F.col("k") + _unit(F.lit(step), F.col("group"), F.col("shard")) / 2)
+        goal = ranked.groupBy("group").agg(F.max_by("shard", "rank").alias("goal"), F.max_by("k", "rank").alias("there"))
+        less = (F.col("k") < F.col("there")) | ((F.col("k") == F.col("there")) & (F.col("shard") != F.col("goal")))
+        wanted = at.join(goal, "group").filter(less).groupBy("group", "goal", "there").agg(F.sum("k").alias("wanted"))
+        asked = wanted.groupBy("goal").agg(F.sum("wanted").alias("asked"))
         quota = F.broadcast(asked.join(room.withColumnRenamed("shard", "goal"), "goal"))
-        # near the end of a shard's room chance alone decides, a little below the quota
-        chosen = goal.join(quota, "goal").select("group", "goal", (F.col("room") / F.col("asked")).alias("share"), (F.col("m") - F.col("there") > F.col("room")).alias("split"))
-        chosen = materialize(chosen, "shard-goals")
+        # beyond a shard's room chance decides
+        chosen = wanted.join(quota, "goal").select("group", "goal", "there", (F.col("room") / F.col("asked")).alias("share"), (F.col("wanted") > F.col("room")).alias("split"))
+        movers = materialize(at.join(chosen, "group").filter(less).select("group", "shard", "goal", "share", "split"), "shard-goals")
         go = F.when(F.col("split"), _unit(F.lit(step), F.col("uid"), F.lit(7))).otherwise(_unit(F.lit(step), F.col("group"), F.lit(7))) < F.col("share")
-        linked = materialize(linked.join(chosen, "group", "left").select("uid", "group", F.when(go, F.col("goal")).otherwise(F.col("shard")).alias("shard")), "shard-labels")
+        linked = materialize(linked.join(movers, ["group", "shard"], "left").select("uid", "group", F.when(go, F.col("goal")).otherwise(F.col("shard")).alias("shard")), "shard-labels")
     return linked
 
 
@@ -63,7 +64,8 @@ def assign(docs: DataFrame, shards: int = 24, rounds: int = 4, bucket_rows: int
     rows = base.select("doc_id", "size", "text_crc32", "group").withColumn("uid", F.xxhash64("doc_id", "size", "text_crc32"))
     n = base.count()
     quota, more = divmod(n, shards)
-    groups = base.filter("group is not null").groupBy("group").agg(F.count("*").alias("m")).filter("m > 1").select("group")
+    # written, so that the join below deals out both sides itself and a large group's rows can be split
+    groups = materialize(base.filter("group is not null").groupBy("group").agg(F.count("*").alias("m")).filter("m > 1").select("group"), "shard-groups")
     linked = rows.join(groups, "group", "left_semi").select("uid", "group", _part(F.col("doc_id"), 1, shards).alias("shard"))
     labels = propagate(materialize(linked, "shard-linked"), shards, max(1, quota), rounds)
     labels = labels.groupBy("uid").agg(F.min("shard").alias("label"))  # repeated rows share one
