@@ -45,7 +45,7 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return attention_lm.score(table(spark, sf_dir, "documents"), _remainder(7, 2), tokenizer("byte_bpe_50k.tiktoken"), bpe.PATTERN)
+    return attention_lm.score(table(spark, sf_dir, "documents"), _remainder(7, 2), tokenizer("byte_bpe_50k.tiktoken"))
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
