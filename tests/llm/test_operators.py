@@ -242,16 +242,47 @@ def test_gradient_against_differences():
         assert (loss(flat + step) - loss(flat - step)) / 2e-2 == pytest.approx(g[k], abs=3e-3)
 
 
-def test_scores_are_causal_and_whole():
-    shape = attention_lm.Shape(hop=4, dim=4, buckets=64, classes=8)
-    class_of, share = attention_lm.token_classes(np.arange(100.0), 8)
-    assert np.allclose(np.bincount(class_of, np.exp(share), 8), 1)
-    m = attention_lm.Model(shape, shape.start(), class_of, share.astype(np.float32))
+def small_model(near=None):
+    shape = attention_lm.Shape(hop=4, dim=4, buckets=64, classes=16)
+    starts = np.arange(100) % 3 == 0
+    class_of, share = attention_lm.token_classes(np.arange(100.0), starts, shape, near)
+    return starts, attention_lm.Model(shape, shape.start(), class_of, share.astype(np.float32))
+
+
+@pytest.mark.parametrize("near", [None, np.random.default_rng(1).integers(0, 9, (100, 5)).astype(float)])
+def test_scores_are_causal_and_whole(near):
+    starts, m = small_model(near)
+    mass = np.bincount(m.class_of, np.exp(m.share), m.shape.classes)
+    assert np.allclose(mass[mass > 0], 1) and ((m.class_of >= m.shape.inside) == starts).all()
     ids = np.random.default_rng(0).integers(0, 99, 23)
-    whole = m.log_prob([ids, ids[:9], ids[:1]], 99)
-    alone = [m.log_prob([x], 99)[0] for x in (ids, ids[:9], ids[:1])]
-    assert np.allclose(whole, alone) and np.allclose(m.log_prob([ids], 99, rows=2), whole[0])
-    assert m.log_prob([ids], 99)[0] < m.log_prob([ids[:-1]], 99)[0] < 0
+    texts = [ids, ids[:9], ids[:1]]
+    each = lambda t: m.log_prob(t, np.array([len(t)]), 99)[0]
+    whole = m.log_prob(np.concatenate(texts), np.array([23, 9, 1]), 99)
+    assert np.allclose(whole, [each(t) for t in texts]) and np.allclose(m.log_prob(ids, np.array([23]), 99, rows=2), whole[0])
+    assert each(ids) < each(ids[:-1]) < 0
+    for some in (np.flatnonzero(starts), np.flatnonzero(~starts)):  # one distribution for starts, one for others
+        after = [each(np.append(ids[:7], i)) - each(ids[:7]) for i in some]
+        assert np.exp(after).sum() == pytest.approx(1, abs=1e-3)
+
+
+def test_lexicon_is_a_distribution_over_spellings():
+    """At known, unknown and last subwords, ends and goings-on have the mass one, whatever the model adds."""
+    with open(P.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        sub = attention_lm.Subwords(f.read(), attention_lm.PATTERN)
+    words = ["bleores", "bleore", "blewhorly", "thwhorly", "thattish", "é\u00a0x", "\u00a0", "x" * 300]
+    lexicon = attention_lm.Lexicon(words, np.array([5, 1, 2, 9, 1, 1, 1, 1]), sub)
+    ids, first = sub.spell(words)
+    assert [sub.encoding.decode(ids[a:b].tolist()) for a, b in zip(first, first[1:])] == [" " + w for w in words]
+    inside = np.flatnonzero(~sub.starts)
+    for stem in (sub.spell(["bleores"])[0], sub.spell(["blewhor"])[0][:3], sub.spell(["blewhor"])[0][:2], sub.spell(["zebra, zq"])[0][:1]):
+        _, _, stop = lexicon.walk(stem, np.array([0, len(stem)]))
+        more = np.concatenate([np.append(stem, i) for i in inside])
+        direct, back, _ = lexicon.walk(more, np.arange(len(inside) + 1) * (len(stem) + 1))
+        at = np.arange(1, len(inside) + 1) * (len(stem) + 1) - 1
+        assert np.exp(stop[0]) + direct[at].sum() + back[at].mean() == pytest.approx(1)
+        assert np.ptp(back[at]) < 1e-12 and 0 < np.exp(stop[0]) < 1
+    empty = attention_lm.Lexicon([], np.zeros(0), sub)
+    assert np.isfinite(empty.walk(ids, first)[2]).all() and (empty.walk(ids, first)[0] == 0).all()
 
 
 @pytest.mark.parametrize("top", [1 << 18, 3])
