@@ -162,16 +162,44 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray) -> np.ndarra
             label = label[label]
 
 
-def link_rows(bucket: np.ndarray, f: np.ndarray, radius: int, part: np.ndarray | None = None, direct: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def link_rows(bucket: np.ndarray, f: np.ndarray, radius: int, part: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Rows sorted by bucket -> (row, root) forest of the rows within ``radius`` of each other in a bucket.
 
-    ``direct``: give each row's nearest and farthest hit before it instead, for links that are yet to be
-    proven (a root may be linked through rows that fail). ``part``: 0 or 1 for each row; where given, only rows of different parts are compared (pairs of tiles).
+    ``part``: 0 or 1 for each row; where given, only rows of different parts are compared (pairs of tiles).
     """
     n = len(bucket)
-    label, near, far = np.arange(n), np.arange(n), np.arange(n)
+    label = np.arange(n)
+    for s, among, planes in _shifts(bucket, f, part):
+        hit = planes.within(s, radius, among)
+        if len(hit):
+            label = _roots(n, hit, hit + s, label)
+    child = np.flatnonzero(label != np.arange(n))
+    return child, label[child]
+
+
+def hit_rows(bucket: np.ndarray, f: np.ndarray, radius: int, part: np.ndarray, known: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, earlier row) of the rows within ``radius`` of each other that are not ``known`` to be of one group, for
+    links that are yet to be proven: a row's ``most`` nearest of them; and the rows that have more."""
+    n = len(bucket)
+    times, rows, others = np.zeros(n, np.int64), [], []
+    for s, among, planes in _shifts(bucket, f, part):
+        among[:-s] &= (known[:-s] != known[s:]) & (times[s:] <= most)
+        if not among.any():
+            continue
+        hit = planes.within(s, radius, among)
+        times[hit + s] += 1
+        hit = hit[times[hit + s] <= most]
+        rows.append(hit + s)
+        others.append(hit)
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *rows]), np.concatenate([none, *others]), np.flatnonzero(times > most)
+
+
+def _shifts(bucket: np.ndarray, f: np.ndarray, part: np.ndarray | None) -> Iterator[tuple[int, np.ndarray, Planes]]:
+    """(s, mask of the rows i that are to be compared with row i + s, planes)."""
+    n = len(bucket)
     if n < 2:
-        return label[:0], label[:0]
+        return
     new = np.concatenate(([True], bucket[1:] != bucket[:-1]))
     size = np.diff(np.append(np.flatnonzero(new), n))
     left = np.repeat(np.append(np.flatnonzero(new)[1:], n), size) - np.arange(n) - 1  # rows after this one in its bucket
@@ -180,39 +208,36 @@ def link_rows(bucket: np.ndarray, f: np.ndarray, radius: int, part: np.ndarray |
         among = left >= s
         if part is not None:
             among[:-s] &= (part[:-s] != part[s:]) | (part[:-s] > 1)
-        if not among.any():
-            continue
-        hit = planes.within(s, radius, among)
-        if direct:
-            fresh = hit[near[hit + s] == hit + s]
-            near[fresh + s] = fresh
-            far[hit + s] = hit
-        elif len(hit):
-            label = _roots(n, hit, hit + s, label)
-    if direct:
-        one, two = np.flatnonzero(near != np.arange(n)), np.flatnonzero(far != near)
-        return np.concatenate((one, two)), np.concatenate((near[one], far[two]))
-    child = np.flatnonzero(label != np.arange(n))
-    return child, label[child]
+        if among.any():
+            yield s, among, planes
 
 
-def _link_partition(radius: int, direct: bool, rows: int = 1 << 16):
+def _link_partition(radius: int, most: int | None = None, rows: int = 1 << 16):
     def run(batches: Iterator) -> Iterator:
-        """Compares the rows of a partition that holds whole (bucket, tile pair) groups."""
+        """Compares the rows of a partition that holds whole (bucket, tile pair) groups. With ``most``: gives
+        ``hit_rows``, and a row (null, bucket) for each bucket where a row has more."""
         import pyarrow as pa
 
-        got = [(b.column("bucket").to_numpy(), b.column("node").to_numpy(), b.column("part").to_numpy(), b.column("f").values.to_numpy().reshape(b.num_rows, -1)) for b in batches if b.num_rows]
+        names = ["bucket", "node", "part"] + ["known"] * (most is not None)
+        got = [(*(b.column(c).to_numpy() for c in names), b.column("f").values.to_numpy().reshape(b.num_rows, -1)) for b in batches if b.num_rows]
         if not got:
             return
-        bucket, node, part, f = (np.concatenate(x) for x in zip(*got, strict=True))
+        bucket, node, part, *known, f = (np.concatenate(x) for x in zip(*got, strict=True))
         del got
         order = np.lexsort((node, bucket))
         bucket, node, part, f = bucket[order], node[order], part[order], f[order].view(U)
+        known = [k[order] for k in known]
         ends = np.append(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(bucket))
         a = 0
         while a < len(bucket):
             b = int(ends[max(np.searchsorted(ends, a, "right"), np.searchsorted(ends, a + rows, "right") - 1)])
-            u, v = link_rows(bucket[a:b], f[a:b], radius, part[a:b], direct)
+            if most is None:
+                u, v = link_rows(bucket[a:b], f[a:b], radius, part[a:b])
+            else:
+                u, v, more = hit_rows(bucket[a:b], f[a:b], radius, part[a:b], known[0][a:b], most)
+                again = np.unique(bucket[a:b][more])
+                if len(again):
+                    yield pa.RecordBatch.from_arrays([pa.nulls(len(again), pa.int64()), pa.array(again)], names=["u", "v"])
             if len(u):
                 yield pa.RecordBatch.from_arrays([pa.array(node[a:b][u]), pa.array(node[a:b][v])], names=["u", "v"])
             a = b
@@ -237,12 +262,16 @@ def _keyed(keys, carry: int):
     return run
 
 
-def link(nodes: DataFrame, keys, radius: int, carry: int = 1, tile: int = 4096, direct: bool = False) -> DataFrame:
+def link(nodes: DataFrame, keys, radius: int, carry: int = 1, tile: int = 4096) -> DataFrame:
     """Edges (u, v) between nodes (node, f) that share a bucket and lie within ``radius`` bits of the first
-    ``carry`` words. A bucket of more than ``tile`` nodes is split in tiles of about that many, by a hash of
+    ``carry`` words."""
+    grouped = _dealt(nodes, keys, carry, tile)
+    return grouped.repartition(partitions(nodes.sparkSession), "bucket").mapInArrow(_link_partition(radius), "u long, v long")
+
+
+def _dealt(nodes: DataFrame, keys, carry: int, tile: int) -> DataFrame:
+    """(bucket, node, part, f). A bucket of more than ``tile`` nodes is split in tiles of about that many, by a hash of
     the node; each pair of tiles is a group of its own."""
-    spark = nodes.sparkSession
-    n = partitions(spark)
     keyed = nodes.mapInArrow(_keyed(keys, carry), "bucket long, node long, f array<long>")
     large = materialize(keyed.groupBy("bucket").agg(F.count("*").alias("rows")).filter(F.col("rows") > tile), "large-buckets")
     whole = lambda df: df.select("bucket", "node", F.lit(2).cast("byte").alias("part"), "f")
@@ -256,7 +285,7 @@ def link(nodes: DataFrame, keys, radius: int, carry: int = 1, tile: int = 4096,
         pair = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))
         dealt = dealt.select(pair.alias("bucket"), "node", F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).cast("byte").alias("part"), "f")
         grouped = whole(mine.filter("tiles is null")).union(dealt)
-    return grouped.repartition(n, "bucket").mapInArrow(_link_partition(radius, direct), "u long, v long")
+    return grouped
 
 
 def near_groups(docs: DataFrame, shingle: int = 3, radius: int = 2, tile: int = 4096) -> DataFrame:
@@ -304,6 +333,41 @@ def _verify(threshold: float):
     return run
 
 
+def proven_links(docs: DataFrame, nodes: DataFrame, keys, radius: int, carry: int, tile: int, shingle: int, similarity: float, most: int = 2, more: int = 8) -> DataFrame:
+    """Links (u, v) that are proven on whole shingle sets and connect all that the hits within ``radius`` can connect.
+
+    A first round takes the ``most`` nearest hits of each row of a bucket. Buckets where a row has more are compared
+    again, with ``more`` times as many hits a row, until none has: then every hit has been verified or lies within a
+    group that proven links already connect. Such pairs are left out of a round, so a large group of near duplicates
+    costs what its rows do, not what its pairs do.
+    """
+    n = partitions(docs.sparkSession)
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
+    rows = _dealt(nodes, keys, carry, tile)
+    now, links, tested, sets = rows.withColumn("known", F.col("node")), None, None, None
+    while True:
+        hits = now.repartition(n, "bucket").mapInArrow(_link_partition(radius, most), "u long, v long").distinct()
+        hits = materialize(hits, "wide-candidates")
+        fresh = hits.filter("u is not null")
+        if tested is not None:
+            fresh = materialize(fresh.join(tested, ["u", "v"], "left_anti"), "wide-fresh")
+        ends = fresh.select(F.col("u").alias("node")).union(fresh.select("v")).distinct()
+        ends = materialize(ends if sets is None else ends.join(sets, "node", "left_anti"), "wide-ends")
+        added = materialize(texts.join(ends, "node", "left_semi").mapInArrow(_shingle_sets(shingle), "node long, set binary"), "wide-sets")
+        sets = added if sets is None else sets.union(added)
+        pairs = fresh.join(sets.select(F.col("node").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("b")), "v")
+        proven = materialize(pairs.select("u", "v", "a", "b").mapInArrow(_verify(similarity), "u long, v long"), "wide-proven")
+        links = proven if links is None else links.union(proven)
+        open_ = hits.filter("u is null").select(F.col("v").alias("bucket"))
+        if open_.isEmpty():
+            return links
+        tested = fresh if tested is None else tested.union(fresh)
+        rows = materialize(rows.join(open_, "bucket", "left_semi"), "wide-again")
+        groups = materialize(components(links), "wide-groups")
+        now = rows.join(groups, "node", "left").withColumn("known", F.coalesce("component", "node")).drop("component")
+        most *= more
+
+
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 16, band: int = 16, carry: int = 2, tile: int = 4096) -> DataFrame:
     """``docs`` with one document of each group of near duplicates: the one with the least doc_id.
 
@@ -321,14 +385,8 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
     exact = prints.groupBy("f").agg(F.min("doc_id").alias("node"))
     nodes = materialize(exact, "wide-distinct")
     same = prints.join(nodes, "f").filter(F.col("doc_id") != F.col("node")).select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
-    near = link(nodes, lambda f: band_keys(f, band), radius, carry, tile, direct=True).distinct()
     # equal wide prints need no proof: sets that agree in all 1024 majority bits at this threshold are equal or nearly so
-    near = materialize(near, "wide-candidates")
-    ends = materialize(near.select(F.col("u").alias("node")).union(near.select("v")).distinct(), "wide-ends")
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
-    sets = materialize(texts.join(ends, "node", "left_semi").mapInArrow(_shingle_sets(shingle), "node long, set binary"), "wide-sets")
-    pairs = near.join(sets.select(F.col("node").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("b")), "v")
-    proven = pairs.select("u", "v", "a", "b").mapInArrow(_verify(similarity), "u long, v long")
+    proven = proven_links(docs, nodes, lambda f: band_keys(f, band), radius, carry, tile, shingle, similarity)
     groups = components(materialize(proven.union(same), "wide-links"))
     gone = groups.filter("node <> component").select(F.col("node").alias("__gone"))
     return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")

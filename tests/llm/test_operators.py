@@ -151,6 +151,25 @@ def test_near_dedup_keeps_one_of_each_group(docs, prose):
     assert kept == set(range(20))
 
 
+@pytest.mark.parametrize("tile", [4096, 30])
+def test_near_dedup_among_false_partners_against_brute_force(docs, prose, tile):
+    """Many documents share a passage and are 0.6 to 0.79 alike; the true pairs stand among them."""
+    passage = prose(150, 1)
+    own = {i: prose(30 + i % 10, 100 + i).split() for i in range(120)}
+    for i in range(20, 40):
+        own[i + 60] = own[i][:-2] + ["other", f"end{i}"]
+    pairs = [(i, passage + " " + " ".join(w)) for i, w in own.items()]
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in pairs for w in [t.lower().split()]}
+    least = {i: i for i in sets}
+    alike = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
+    for a, b in sorted(p for p, j in alike.items() if j >= 0.8):
+        x, y = sorted((least[a], least[b]))
+        least = {i: x if m == y else m for i, m in least.items()}
+    assert sum(0.6 <= j < 0.8 for j in alike.values()) > 0.9 * len(alike) and len(set(least.values())) == 100
+    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(docs(pairs), words=2, band=2, tile=tile).collect()}  # wide buckets
+    assert kept == set(least.values())
+
+
 def test_components_of_a_chain_and_a_star(spark):
     from gaugeline.llm.graph import components
 
