@@ -436,3 +436,18 @@ def test_shards(docs, prose):
     hot = Counter(r["shard"] for r in got if 5000 <= (r["doc_id"] or 0) < 6000)
     assert sorted(hot.values())[-3:] and sum(sorted(hot.values())[-4:]) >= 150  # the large one fills whole shards
     assert shards.assign(docs([])).count() == 0
+
+
+def test_shards_of_a_group_of_a_third_and_of_copies_only(docs):
+    """24 shards: a group that needs eight of them, and pairs that fill all the rest, so that room comes from rows that leave."""
+    pairs = [(i, "the same") for i in range(800)] + [(1000 + i, f"pair {i % 800}") for i in range(1600)]
+    got = shards.assign(docs(pairs), 24, bucket_rows=50).collect()
+    sizes = Counter(r["shard"] for r in got)
+    assert len(got) == 2400 and set(sizes.values()) == {100}
+    hot = Counter(r["shard"] for r in got if r["doc_id"] < 1000)
+    assert sum(sorted(hot.values())[-8:]) > 0.8 * 800
+    both = defaultdict(set)
+    for r in got:
+        if r["doc_id"] >= 1000:
+            both[(r["doc_id"] - 1000) % 800].add(r["shard"])
+    assert sum(len(b) == 1 for b in both.values()) > 0.5 * 800
