@@ -10,7 +10,7 @@ so copies cost one row. Distinct fingerprints meet in buckets:
 Inside buckets, rows are stored as vertical bit planes: plane k holds bit k of all rows, eight rows a byte. The
 planes of row i and of row i + s differ by one XOR for all i at once; a carry-save counter of a few planes
 adds the differences up, and blocks of rows all over the radius are abandoned between plane groups. Each
-bucket gives a forest (at most one edge a row), never its pairs. Buckets over ``tile`` rows are dealt out as
+bucket gives a forest (at most one edge a row); where links are yet to be proven, its hits, in rounds. Buckets over ``tile`` rows are dealt out as
 pairs of tiles over many tasks. Links become components in ``graph``.
 
 Null text has no words: fingerprint zero, linked like any other. Repeated rows are rows of one fingerprint;
