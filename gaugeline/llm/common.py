@@ -53,3 +53,16 @@ def fits(df: DataFrame, rows: int) -> bool:
 def small_side(df: DataFrame, rows: int) -> DataFrame:
     """``df`` with a broadcast hint if it was counted to be at most ``rows`` rows, else unchanged."""
     return F.broadcast(df) if fits(df, rows) else df
+
+
+def join_hot(rows: DataFrame, side: DataFrame, key: str, weight: str, least: int = 1000) -> DataFrame:
+    """``rows`` joined with ``side`` (one row a key; ``weight``: how many of ``rows`` have it) without a hot task.
+
+    Keys with over a quarter of a task's share of rows, and ``least`` or more, are at most four a task, so that their
+    side is broadcast and their rows stay where they are; all other keys are joined as usual. ``weight`` goes.
+    """
+    total = side.agg(F.coalesce(F.sum(weight), F.lit(0)).alias("n")).head()["n"]
+    hot = F.col(weight) > max(least, total // (4 * partitions(rows.sparkSession)))
+    few = F.broadcast(side.filter(hot).drop(weight))
+    rest = rows.join(F.broadcast(side.filter(hot).select(key)), key, "left_anti").join(side.filter(~hot).drop(weight), key)
+    return rows.join(few, key).unionByName(rest)

@@ -9,9 +9,10 @@ so copies cost one row. Distinct fingerprints meet in buckets:
 
 Inside buckets, rows are stored as vertical bit planes: plane k holds bit k of all rows, eight rows a byte. The
 planes of row i and of row i + s differ by one XOR for all i at once; a carry-save counter of a few planes
-adds the differences up, and blocks of rows all over the radius are abandoned between plane groups. Each
-bucket gives a forest (at most one edge a row); where links are yet to be proven, its hits, in rounds. Buckets over ``tile`` rows are dealt out as
-pairs of tiles over many tasks. Links become components in ``graph``.
+adds the differences up, and blocks of rows all over the radius are abandoned between plane groups. Large buckets
+compare a block of rows with all others the same way. Each bucket gives a forest (at most one edge a row); where
+links are yet to be proven, each row's nearest and first hit, in rounds. Buckets over ``tile`` rows are dealt out as
+pairs of tiles over many tasks; a task holds one bucket at a time. Links become components in ``graph``.
 
 Null text has no words: fingerprint zero, linked like any other. Repeated rows are rows of one fingerprint;
 null doc_ids take part and are never a component's id unless it holds nothing else; an empty table gives an
@@ -20,16 +21,17 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions, scratch
+from .common import join_hot, materialize, partitions, small_side
 from .graph import components
-from .wordstream import LOWER, U, blocks, mix, rows_of
+from .wordstream import LOWER, U, mix, rows_of
 
 _BYTE = 8
 
@@ -49,24 +51,27 @@ def shingle_hashes(text: bytes, k: int) -> np.ndarray:
     return np.array([xxh64_intdigest(flat[a:b], 42) for a, b in zip(starts, ends[k - 1 :].tolist(), strict=True)], U)
 
 
+#: Byte -> its bits as eight byte-wide lanes of one word, so that adding words counts eight bits at once.
+_LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(U).ravel()
+
+
 def majority(hashes: np.ndarray, words: int = 1) -> np.ndarray:
     """``words`` 64-bit words; a bit is set if it is in over half the hashes. Word 0 takes the hashes as they
     are, others scramble them first."""
-    out = np.zeros(words, U)
     n = len(hashes)
     if not n:
-        return out
-    for j in range(words):
-        h = hashes if not j else mix(hashes + U((j * 0x9E3779B97F4A7C15) % 2**64))
-        counts = np.zeros(64, np.int64)
-        for s in range(0, n, 1 << 14):
-            counts += np.unpackbits(h[s : s + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int32)
-        out[j] = np.packbits(2 * counts > n, bitorder="little").view(U)[0]
-    return out
+        return np.zeros(words, U)
+    salts = np.array([j * 0x9E3779B97F4A7C15 % 2**64 for j in range(1, words)], U)
+    counts = np.zeros((words, 64), np.int64)
+    for s in range(0, n, 255):  # a lane holds 255
+        h = hashes[None, s : s + 255]
+        h = np.concatenate((h, mix(h + salts[:, None]))) if words > 1 else np.ascontiguousarray(h)
+        counts += _LANES[h.view(np.uint8).reshape(words, -1, 8)].sum(1).view(np.uint8).reshape(words, 64)
+    return np.packbits(2 * counts > n, axis=1, bitorder="little").view(U).ravel()
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, distinct: bool = False) -> DataFrame:
-    """(doc_id, f: array of ``words`` longs). ``distinct``: each different shingle counts once."""
+def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """(doc_id, f: array of one long)."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -74,16 +79,41 @@ def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, distinct: bo
         for batch in batches:
             ids, out = [], []
             for doc, text in rows_of(batch, "doc_id"):
-                h = shingle_hashes(text, shingle)
                 ids.append(doc)
-                out.append(majority(np.unique(h) if distinct else h, words))
-            flat = np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * words, pa.int32()), pa.array(flat))], names=["doc_id", "f"])
+                out.append(majority(shingle_hashes(text, shingle)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _lists(np.array(out, U).reshape(len(ids), 1))], names=["doc_id", "f"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, f array<long>")
 
 
+def _lists(f: np.ndarray):
+    import pyarrow as pa
+
+    n, w = f.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * w, pa.int32()), pa.array(np.ascontiguousarray(f).view(np.int64).ravel()))
+
+
+def wide_prints(docs: DataFrame, shingle: int, words: int) -> DataFrame:
+    """(doc_id, own: XXH64 of the text, digest of the set of shingles, f: ``words`` longs) of ``docs`` (doc_id, own, text).
+    Each different shingle counts once."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            ids, owns, digests, out = [], [], [], []
+            for doc, own, text in rows_of(batch, "doc_id", "own"):
+                h = np.unique(shingle_hashes(text, shingle))
+                ids.append(doc)
+                owns.append(own)
+                digests.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
+                out.append(majority(h, words))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(owns, pa.int64()), pa.array(digests, pa.binary()), _lists(np.array(out, U).reshape(len(ids), words))], names=["doc_id", "own", "digest", "f"])
+
+    return docs.mapInArrow(run, "doc_id long, own long, digest binary, f array<long>")
+
+
 def exact_keys(f: np.ndarray, radius: int) -> list[np.ndarray]:
     """Bucket keys such that any two fingerprints within ``radius`` bits share one."""
     cuts = np.linspace(0, 64, radius + 3).astype(int)
@@ -140,7 +170,7 @@ class Planes:
 
 def _above(counter: list[np.ndarray], radius: int) -> np.ndarray:
     """Bitwise: where the counter is over the radius."""
-    over, same = np.zeros_like(counter[0]), np.full_like(counter[0], 0xFF)
+    over, same = np.zeros_like(counter[0]), ~np.zeros_like(counter[0])
     for k in range(len(counter) - 1, -1, -1):
         if radius >> k & 1:
             same = same & counter[k]
@@ -177,22 +207,97 @@ def link_rows(bucket: np.ndarray, f: np.ndarray, radius: int, part: np.ndarray |
     return child, label[child]
 
 
-def hit_rows(bucket: np.ndarray, f: np.ndarray, radius: int, part: np.ndarray, known: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, earlier row) of the rows within ``radius`` of each other that are not ``known`` to be of one group, for
-    links that are yet to be proven: a row's ``most`` nearest of them; and the rows that have more."""
+def _full(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A full adder: the sum and the carry of three planes."""
+    u = a ^ b
+    return u ^ c, (a & b) | (u & c)
+
+
+def within_all(planes: np.ndarray, queries: np.ndarray, radius: int) -> np.ndarray:
+    """(queries, rows) true where within ``radius`` bits. ``planes``: (bits, words) vertical planes of the rows, 64 a
+    word; ``queries``: (bits, queries), 0 or all ones. Eight planes a time go through a tree of full adders; words of
+    which all rows are over the radius for all queries are abandoned."""
+    bits, wide = planes.shape
+    q = queries.shape[1]
+    cols = np.arange(wide)
+    counter = [np.zeros((q, wide), U) for _ in range(max(3, radius.bit_length()))]
+    dead = np.zeros((q, wide), U)
+    for k in range(0, bits, 8):
+        d = [planes[k + i].take(cols)[None, :] ^ queries[k + i][:, None] for i in range(8)]
+        ones, twos, fours, *upper = counter
+        ones, t1 = _full(ones, d[0], d[1])
+        ones, t2 = _full(ones, d[2], d[3])
+        twos, f1 = _full(twos, t1, t2)
+        ones, t1 = _full(ones, d[4], d[5])
+        ones, t2 = _full(ones, d[6], d[7])
+        twos, f2 = _full(twos, t1, t2)
+        fours, carry = _full(fours, f1, f2)
+        for i, c in enumerate(upper):
+            upper[i], carry = c ^ carry, c & carry
+        dead |= carry
+        counter = [ones, twos, fours, *upper]
+        if k % 64 == 56 or k + 8 >= bits:
+            dead |= _above(counter, radius)
+            alive = (dead != ~U(0)).any(0)
+            if not alive.any():
+                return np.zeros((q, wide * 64), bool)
+            if alive.sum() < 0.8 * len(cols):
+                cols, dead, counter = cols[alive], dead[:, alive], [c[:, alive] for c in counter]
+    out = np.zeros((q, wide), U)
+    out[:, cols] = ~dead
+    return np.unpackbits(out.view(np.uint8), axis=1, bitorder="little").view(bool)
+
+
+def nearest(bucket: np.ndarray, f: np.ndarray, radius: int, part: np.ndarray, known: np.ndarray, block: int = 128) -> Iterator[tuple[np.ndarray, ...]]:
+    """``hit_rows`` of one large bucket or a few: all rows against all, ``block`` of them at a time."""
+    n = len(f)
+    bits = np.zeros((f.shape[1] * 64, -(-n // 64) * 64), np.uint8)
+    bits[:, :n] = np.unpackbits(np.ascontiguousarray(f).view(np.uint8).reshape(n, -1), axis=1, bitorder="little").T
+    planes = np.packbits(bits, axis=1, bitorder="little").view(U)
+    for s in range(0, n, block):
+        rows = np.arange(s, min(s + block, n))
+        hit = within_all(planes, (-bits[:, rows].astype(np.int64)).view(U), radius)[:, :n]
+        hit &= (bucket[rows][:, None] == bucket[None, :]) & (known[rows][:, None] != known[None, :]) & ((part[None, :] > 1) | (part[rows][:, None] != part[None, :]))
+        times = hit.sum(1)
+        some = np.flatnonzero(times)
+        if not len(some):
+            continue
+        hit, rows, times = hit[some], rows[some], times[some]
+        i, j = np.nonzero(hit)
+        far = np.full(hit.shape, 0xFFFF, np.uint16)
+        far[i, j] = np.bitwise_count(f[rows[i]] ^ f[j]).sum(1)
+        close = far.argmin(1)
+        picks = [close, hit.argmax(1), n - 1 - hit[:, ::-1].argmax(1)]
+        use = [np.ones(len(rows), bool), picks[1] != close, (times == 2) & (picks[2] != close) & (picks[2] != picks[1])]
+        for other, ok in zip(picks, use, strict=True):
+            yield rows[ok], other[ok], far[np.arange(len(rows)), other][ok].astype(np.int64), times[ok] > 2
+
+
+def hit_rows(bucket: np.ndarray, f: np.ndarray, radius: int, part: np.ndarray, known: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """(row, other row, bits apart, whether the row has more) of rows within ``radius`` of each other in a bucket that
+    are not ``known`` to be of one group: of a row's hits the nearest and the first, or both if it has two."""
     n = len(bucket)
-    times, rows, others = np.zeros(n, np.int64), [], []
+    rows, others = [], []
     for s, among, planes in _shifts(bucket, f, part):
-        among[:-s] &= (known[:-s] != known[s:]) & (times[s:] <= most)
-        if not among.any():
-            continue
-        hit = planes.within(s, radius, among)
-        times[hit + s] += 1
-        hit = hit[times[hit + s] <= most]
-        rows.append(hit + s)
-        others.append(hit)
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *rows]), np.concatenate([none, *others]), np.flatnonzero(times > most)
+        among[:-s] &= known[:-s] != known[s:]
+        hit = planes.within(s, radius, among) if among.any() else ()
+        if len(hit):
+            rows += [hit, hit + s]
+            others += [hit + s, hit]
+    if not rows:
+        return
+    row, other = np.concatenate(rows), np.concatenate(others)
+    far = np.bitwise_count(f[row] ^ f[other]).sum(1).astype(np.int64)
+    times = np.bincount(row, minlength=n)[row]
+    order = np.lexsort((other, row))
+    row, other, far, times = row[order], other[order], far[order], times[order]
+    first = np.ones(len(row), bool)
+    first[1:] = row[1:] != row[:-1]
+    close = np.lexsort((other, far, row))
+    closest = np.zeros(len(row), bool)
+    closest[close[first]] = True  # both orders are by row first
+    ok = first | closest | (times == 2)
+    yield row[ok], other[ok], far[ok], times[ok] > 2
 
 
 def _shifts(bucket: np.ndarray, f: np.ndarray, part: np.ndarray | None) -> Iterator[tuple[int, np.ndarray, Planes]]:
@@ -212,35 +317,50 @@ def _shifts(bucket: np.ndarray, f: np.ndarray, part: np.ndarray | None) -> Itera
             yield s, among, planes
 
 
-def _link_partition(radius: int, most: int | None = None, rows: int = 1 << 16):
+def _link_partition(radius: int, proven: bool, rows: int = 1 << 16, large: int = 32):
     def run(batches: Iterator) -> Iterator:
-        """Compares the rows of a partition that holds whole (bucket, tile pair) groups. With ``most``: gives
-        ``hit_rows``, and a row (null, bucket) for each bucket where a row has more."""
+        """Compares the rows of each bucket of a partition that is sorted by (bucket, node); whole buckets are taken
+        as they come, so what is held is a bucket, not the partition. ``proven``: the links are all there is to say;
+        else gives ``hit_rows``."""
         import pyarrow as pa
 
-        names = ["bucket", "node", "part"] + ["known"] * (most is not None)
-        got = [(*(b.column(c).to_numpy() for c in names), b.column("f").values.to_numpy().reshape(b.num_rows, -1)) for b in batches if b.num_rows]
-        if not got:
-            return
-        bucket, node, part, *known, f = (np.concatenate(x) for x in zip(*got, strict=True))
-        del got
-        order = np.lexsort((node, bucket))
-        bucket, node, part, f = bucket[order], node[order], part[order], f[order].view(U)
-        known = [k[order] for k in known]
-        ends = np.append(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(bucket))
-        a = 0
-        while a < len(bucket):
-            b = int(ends[max(np.searchsorted(ends, a, "right"), np.searchsorted(ends, a + rows, "right") - 1)])
-            if most is None:
-                u, v = link_rows(bucket[a:b], f[a:b], radius, part[a:b])
-            else:
-                u, v, more = hit_rows(bucket[a:b], f[a:b], radius, part[a:b], known[0][a:b], most)
-                again = np.unique(bucket[a:b][more])
-                if len(again):
-                    yield pa.RecordBatch.from_arrays([pa.nulls(len(again), pa.int64()), pa.array(again)], names=["u", "v"])
-            if len(u):
-                yield pa.RecordBatch.from_arrays([pa.array(node[a:b][u]), pa.array(node[a:b][v])], names=["u", "v"])
-            a = b
+        names = ["bucket", "node", "part"] + ["known"] * (not proven)
+
+        def compare(bucket: np.ndarray, node: np.ndarray, part: np.ndarray, f: np.ndarray, known: np.ndarray | None = None) -> Iterator:
+            ends = np.append(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(bucket))
+            sizes = np.diff(ends, prepend=0)
+            big = np.flatnonzero(sizes >= large)
+            groups, k = [np.flatnonzero(np.repeat(sizes < large, sizes))], 0  # small buckets together
+            while k < len(big):  # large ones by themselves, or a few, to some 128 rows
+                stop = max(k + 1, int(np.searchsorted(np.cumsum(sizes[big[k:]]), 128)) + k)
+                groups.append(np.concatenate([np.arange(ends[i] - sizes[i], ends[i]) for i in big[k:stop]]))
+                k = stop
+            for alone, at in enumerate(groups):
+                own = node[at]
+                if proven:
+                    u, v = link_rows(bucket[at], f[at], radius, part[at])
+                    yield pa.RecordBatch.from_arrays([pa.array(own[u]), pa.array(own[v])], names=["u", "v"])
+                    continue
+                for u, v, d, more in (nearest if alone else hit_rows)(bucket[at], f[at], radius, part[at], known[at]):
+                    yield pa.RecordBatch.from_arrays([pa.array(own[u]), pa.array(own[v]), pa.array(d), pa.array(more)], names=["u", "v", "d", "more"])
+
+        held: list = []
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            cols = [batch.column(c).to_numpy() for c in names]
+            got = [*cols[:3], batch.column("f").flatten().to_numpy().reshape(n, -1).view(U), *cols[3:]]
+            held.append(got)
+            if sum(len(h[0]) for h in held) < rows:
+                continue
+            whole = [np.concatenate(x) for x in zip(*held, strict=True)]
+            cut = int(np.searchsorted(whole[0], whole[0][-1]))  # the last bucket may go on
+            if cut:
+                yield from compare(*(x[:cut] for x in whole))
+            held = [[x[cut:] for x in whole]]
+        if held:
+            yield from compare(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     return run
 
@@ -265,8 +385,11 @@ def _keyed(keys, carry: int):
 def link(nodes: DataFrame, keys, radius: int, carry: int = 1, tile: int = 4096) -> DataFrame:
     """Edges (u, v) between nodes (node, f) that share a bucket and lie within ``radius`` bits of the first
     ``carry`` words."""
-    grouped = _dealt(nodes, keys, carry, tile)
-    return grouped.repartition(partitions(nodes.sparkSession), "bucket").mapInArrow(_link_partition(radius), "u long, v long")
+    return _by_bucket(_dealt(nodes, keys, carry, tile)).mapInArrow(_link_partition(radius, True), "u long, v long")
+
+
+def _by_bucket(rows: DataFrame) -> DataFrame:
+    return rows.repartition(partitions(rows.sparkSession), "bucket").sortWithinPartitions("bucket", "node")
 
 
 def _dealt(nodes: DataFrame, keys, carry: int, tile: int) -> DataFrame:
@@ -291,7 +414,7 @@ def _dealt(nodes: DataFrame, keys, carry: int, tile: int) -> DataFrame:
 def near_groups(docs: DataFrame, shingle: int = 3, radius: int = 2, tile: int = 4096) -> DataFrame:
     """(doc_id, fingerprint, component_id): fingerprints link at ``radius`` or fewer differing bits, exactly."""
     prints = materialize(fingerprints(docs, shingle).select("doc_id", F.col("f")[0].alias("print")), "simhash-prints")
-    nodes = materialize(prints.groupBy("print").agg(F.min("doc_id").alias("first")), "simhash-distinct")
+    nodes = materialize(prints.groupBy("print").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")), "simhash-distinct")
     # nodes are fingerprints themselves, so that null ids do no harm
     edges = link(nodes.select(F.col("print").alias("node"), F.array("print").alias("f")), lambda f: exact_keys(f[:, 0], radius), radius, 1, tile)
     edges = materialize(edges.distinct(), "simhash-links")
@@ -299,9 +422,8 @@ def near_groups(docs: DataFrame, shingle: int = 3, radius: int = 2, tile: int =
     linked = nodes.join(found, F.col("print") == F.col("node"))
     ids = linked.groupBy("component").agg(F.min("first").alias("least"))
     named = linked.join(ids, "component").select(F.col("print").alias("__print"), "least")
-    classes = materialize(nodes.join(named, F.col("print") == F.col("__print"), "left").select(F.col("print").alias("__print"), F.coalesce("least", "first").alias("component_id")), "simhash-classes")
-    out = prints.join(classes, F.col("print") == F.col("__print"))
-    return out.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+    classes = materialize(nodes.join(named, F.col("print") == F.col("__print"), "left").select("print", F.coalesce("least", "first").alias("component_id"), "rows"), "simhash-classes")
+    return join_hot(prints, classes, "print", "rows").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def _shingle_sets(shingle: int):
@@ -333,60 +455,114 @@ def _verify(threshold: float):
     return run
 
 
-def proven_links(docs: DataFrame, nodes: DataFrame, keys, radius: int, carry: int, tile: int, shingle: int, similarity: float, most: int = 2, more: int = 8) -> DataFrame:
+def _tokens(shingle: int):
+    def run(batches: Iterator) -> Iterator:
+        """(node, known, n, s): each different shingle of a text."""
+        import pyarrow as pa
+
+        for batch in batches:
+            for node, known, text in rows_of(batch, "node", "known"):
+                s = np.unique(shingle_hashes(text, shingle))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), node)), pa.array(np.full(len(s), known)), pa.array(np.full(len(s), len(s), np.int32)), pa.array(s.view(np.int64))], names=["node", "known", "n", "s"])
+
+    return run
+
+
+def exact_pairs(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(u, v) that hold all pairs of ``texts`` (node, known, text) at ``similarity`` or more of different ``known``
+    groups: a join by the rarest shingles. Two such sets share one of the first shingles in order of rarity, of the
+    larger set one of its first n - ceil(t n) + 1, of the smaller one of its first n - ceil(2t n / (1 + t)) + 1, and at
+    places that leave enough shingles for the overlap. What many texts share, a template, stands last in that order, and
+    a shingle of a single group joins nothing."""
+    t = similarity
+    up = lambda c: F.ceil(c - F.lit(1e-9))
+    rows = materialize(texts.select("node", "known", "text").mapInArrow(_tokens(shingle), "node long, known long, n int, s long"), "wide-shingles")
+    seen = rows.groupBy("s").agg(F.count("*").alias("df"), F.min("known").alias("low"), F.max("known").alias("high"))
+    place = F.row_number().over(Window.partitionBy("node").orderBy("df", "s")) - 1
+    first = rows.join(seen, "s").withColumn("p", place).filter(F.col("p") <= F.col("n") - up(F.col("n") * t)).filter("low <> high")
+    first = materialize(first.select("s", "node", "known", "n", "p"), "wide-first")
+    a = first.select("s", *(F.col(c).alias(f"{c}_a") for c in ("node", "known", "n", "p")))
+    b = first.filter(F.col("p") <= F.col("n") - up(F.col("n") * (2 * t / (1 + t)))).select("s", *(F.col(c).alias(f"{c}_b") for c in ("node", "known", "n", "p")))
+    order = (F.col("n_b") < F.col("n_a")) | ((F.col("n_b") == F.col("n_a")) & (F.col("node_b") < F.col("node_a")))
+    room = F.least(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b")) >= up((F.col("n_a") + F.col("n_b")) * (t / (1 + t)))
+    met = a.join(b, "s").filter(order & (F.col("known_a") != F.col("known_b")) & (F.col("n_b") >= up(F.col("n_a") * t)) & room)
+    return met.select(F.greatest("node_a", "node_b").alias("u"), F.least("node_a", "node_b").alias("v")).distinct()
+
+
+def _proven(pairs: DataFrame, texts, shingle: int, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (u, v) whose whole shingle sets are alike enough. ``texts(nodes)``: (node, text) of nodes."""
+    ends = materialize(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct(), "wide-ends")
+    sets = materialize(texts(ends).select("node", "text").mapInArrow(_shingle_sets(shingle), "node long, set binary"), "wide-sets")
+    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("b")), "v")
+    return materialize(both.select("u", "v", "a", "b").mapInArrow(_verify(similarity), "u long, v long"), "wide-proven")
+
+
+def proven_links(texts, nodes: DataFrame, keys, radius: int, carry: int, tile: int, shingle: int, similarity: float) -> DataFrame:
     """Links (u, v) that are proven on whole shingle sets and connect all that the hits within ``radius`` can connect.
 
-    A first round takes the ``most`` nearest hits of each row of a bucket. Buckets where a row has more are compared
-    again, with ``more`` times as many hits a row, until none has: then every hit has been verified or lies within a
-    group that proven links already connect. Such pairs are left out of a round, so a large group of near duplicates
-    costs what its rows do, not what its pairs do.
+    In a round each row of a bucket names the nearest and the first of its hits that isn't of its own group; of what it
+    names in all buckets the nearest and the first are verified, and proven links make groups. Rows with more hits than
+    that are crowded: they come again, and their hits outside their groups only. A hit that is never named has two
+    crowded ends, so once a round leaves over half of them crowded, as texts of one template do, the crowded rows are
+    joined by ``exact_pairs``, which finds all of their links, and no hit stays untested.
     """
-    n = partitions(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
-    rows = _dealt(nodes, keys, carry, tile)
-    now, links, tested, sets = rows.withColumn("known", F.col("node")), None, None, None
+    now, links, before = _dealt(nodes, keys, carry, tile).withColumn("known", F.col("node")), None, None
     while True:
-        hits = now.repartition(n, "bucket").mapInArrow(_link_partition(radius, most), "u long, v long").distinct()
-        hits = materialize(hits, "wide-candidates")
-        fresh = hits.filter("u is not null")
-        if tested is not None:
-            fresh = materialize(fresh.join(tested, ["u", "v"], "left_anti"), "wide-fresh")
-        ends = fresh.select(F.col("u").alias("node")).union(fresh.select("v")).distinct()
-        ends = materialize(ends if sets is None else ends.join(sets, "node", "left_anti"), "wide-ends")
-        added = materialize(texts.join(ends, "node", "left_semi").mapInArrow(_shingle_sets(shingle), "node long, set binary"), "wide-sets")
-        sets = added if sets is None else sets.union(added)
-        pairs = fresh.join(sets.select(F.col("node").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("b")), "v")
-        proven = materialize(pairs.select("u", "v", "a", "b").mapInArrow(_verify(similarity), "u long, v long"), "wide-proven")
+        hits = _by_bucket(now).mapInArrow(_link_partition(radius, False), "u long, v long, d long, more boolean")
+        named = hits.groupBy("u").agg(F.collect_set("v").alias("vs"), F.min(F.struct("d", "v")).alias("near"), F.min("v").alias("first"), F.max("more").alias("more"))
+        named = materialize(named.select("u", F.when(F.size("vs") > 2, F.array_distinct(F.array("near.v", "first"))).otherwise(F.col("vs")).alias("vs"), (F.col("more") | (F.size("vs") > 2)).alias("crowded")), "wide-candidates")
+        pairs = named.select("u", F.explode("vs").alias("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+        proven = _proven(materialize(pairs, "wide-pairs"), texts, shingle, similarity)
         links = proven if links is None else links.union(proven)
-        open_ = hits.filter("u is null").select(F.col("v").alias("bucket"))
-        if open_.isEmpty():
+        crowded = named.filter("crowded").select(F.col("u").alias("node"))
+        count = crowded.count()
+        if not count:
             return links
-        tested = fresh if tested is None else tested.union(fresh)
-        rows = materialize(rows.join(open_, "bucket", "left_semi"), "wide-again")
         groups = materialize(components(links), "wide-groups")
-        now = rows.join(groups, "node", "left").withColumn("known", F.coalesce("component", "node")).drop("component")
-        most *= more
+        left = materialize(crowded.join(groups, "node", "left").select("node", F.coalesce("component", "node").alias("known")), "wide-crowded")
+        if before is not None and 2 * count > before:
+            pairs = exact_pairs(texts(left), shingle, similarity)
+            return links.union(_proven(materialize(pairs, "wide-pairs"), texts, shingle, similarity))
+        before = count
+        now = _dealt(nodes.join(left.select("node"), "node", "left_semi"), keys, carry, tile).join(left, "node")
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 16, band: int = 16, carry: int = 2, tile: int = 4096) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 16, band: int = 16, carry: int = 4, tile: int = 4096, broadcast_rows: int = 1_000_000) -> DataFrame:
     """``docs`` with one document of each group of near duplicates: the one with the least doc_id.
 
     Two texts are near duplicates if the Jaccard similarity of their shingle sets is ``similarity`` or more.
     Candidates share a band of a wide SimHash (64 * ``words`` bits, bands of ``band`` bits) and differ in few
     of its first 64 * ``carry`` bits; each candidate is then verified on whole shingle sets. Two texts at
     similarity J differ in a bit with probability p = acos(2J / (1 + J)) / pi, so a pair at 0.8 shares one of
-    64 bands of 16 bits with probability 0.99, at 0.9 with 0.99999. Texts without a word are one group.
-    All columns stay. Rows with a null doc_id stay.
+    64 bands of 16 bits with probability 0.99, at 0.9 with 0.99999. Texts of one shingle set are one node, and texts
+    without a word are one group.
+
+    All columns stay. Rows with a null doc_id stay. A row is known by its doc_id and its text: rows that repeat both
+    stay or go together; of rows of one doc_id with different texts each is judged by its own (ties by XXH64 of the
+    text). An empty table gives an empty result; null text has no words.
     """
     p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
     bits = 64 * carry
     radius = int(np.ceil(bits * p + 3.2 * np.sqrt(bits * p * (1 - p))))
-    prints = materialize(fingerprints(docs.filter("doc_id is not null"), shingle, words, distinct=True), "wide-prints")
-    exact = prints.groupBy("f").agg(F.min("doc_id").alias("node"))
-    nodes = materialize(exact, "wide-distinct")
-    same = prints.join(nodes, "f").filter(F.col("doc_id") != F.col("node")).select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
-    # equal wide prints need no proof: sets that agree in all 1024 majority bits at this threshold are equal or nearly so
-    proven = proven_links(docs, nodes, lambda f: band_keys(f, band), radius, carry, tile, shingle, similarity)
-    groups = components(materialize(proven.union(same), "wide-links"))
-    gone = groups.filter("node <> component").select(F.col("node").alias("__gone"))
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("own"), text.alias("text"))
+    prints = materialize(wide_prints(rows, shingle, words), "wide-prints")
+    heads = prints.groupBy("digest").agg(F.min(F.struct("doc_id", "own")).alias("head"), F.first("f").alias("f"), F.count("*").alias("rows"))
+    nodes = materialize(heads.select(F.monotonically_increasing_id().alias("node"), "digest", "head", "f", "rows"), "wide-distinct")
+
+    def texts(wanted: DataFrame) -> DataFrame:
+        """``wanted`` (node, ...) with the text of each node's head."""
+        ends = nodes.select("node", F.col("head.doc_id").alias("doc_id"), F.col("head.own").alias("own")).join(wanted, "node")
+        return rows.join(small_side(ends, broadcast_rows), ["doc_id", "own"]).dropDuplicates(["node"])
+
+    proven = proven_links(texts, nodes.select("node", "f"), lambda f: band_keys(f, band), radius, carry, tile, shingle, similarity)
+    groups = materialize(components(proven), "wide-groups")
+    best = nodes.join(groups, "node").select("node", "component", "head")
+    least = best.groupBy("component").agg(F.min(F.struct("head", "node")).alias("least"))
+    lost = materialize(best.join(least, "component").filter(F.col("node") != F.col("least.node")).select("node"), "wide-lost")
+    # rows that go: all of a lost node, and of a node that stays all but its head
+    fate = nodes.join(lost.withColumn("lost", F.lit(True)), "node", "left").filter("lost or rows > 1").select("digest", "head", F.coalesce("lost", F.lit(False)).alias("lost"), "rows")
+    gone = join_hot(prints.select("doc_id", "own", "digest"), materialize(fate, "wide-fate"), "digest", "rows")
+    gone = gone.filter(F.col("lost") | (F.struct("doc_id", "own") != F.col("head"))).select(F.col("doc_id").alias("__doc"), F.col("own").alias("__own")).distinct()
+    same = (docs["doc_id"].cast("long") == F.col("__doc")) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == F.col("__own"))
+    return docs.join(small_side(materialize(gone, "wide-gone"), broadcast_rows), same, "left_anti")

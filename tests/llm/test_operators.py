@@ -151,6 +151,23 @@ def test_near_dedup_keeps_one_of_each_group(docs, prose):
     assert kept == set(range(20))
 
 
+def kept_by_brute_force(pairs, k=5, similarity=0.8):
+    """The least id of each component of all pairs at the similarity or more, and how many pairs there are."""
+    sets = {i: {tuple(w[p : p + k]) for p in range(max(1, len(w) - k + 1))} if w else set() for i, t in pairs for w in [(t or "").translate(LOWER).split()]}
+    least, links, by = {i: i for i in sets}, 0, defaultdict(list)
+    for i, s in sets.items():
+        for x in s or {None}:
+            by[x].append(i)
+    for a, b in {(a, b) for v in by.values() for a in v for b in v if a < b}:
+        both = len(sets[a] & sets[b])
+        if not sets[a] and not sets[b] or both >= similarity * (len(sets[a]) + len(sets[b]) - both) and both:
+            links += 1
+            x, y = sorted((least[a], least[b]))
+            if x != y:
+                least = {i: x if m == y else m for i, m in least.items()}
+    return set(least.values()), links
+
+
 @pytest.mark.parametrize("tile", [4096, 30])
 def test_near_dedup_among_false_partners_against_brute_force(docs, prose, tile):
     """Many documents share a passage and are 0.6 to 0.79 alike; the true pairs stand among them."""
@@ -159,15 +176,62 @@ def test_near_dedup_among_false_partners_against_brute_force(docs, prose, tile):
     for i in range(20, 40):
         own[i + 60] = own[i][:-2] + ["other", f"end{i}"]
     pairs = [(i, passage + " " + " ".join(w)) for i, w in own.items()]
-    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in pairs for w in [t.lower().split()]}
-    least = {i: i for i in sets}
-    alike = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
-    for a, b in sorted(p for p, j in alike.items() if j >= 0.8):
-        x, y = sorted((least[a], least[b]))
-        least = {i: x if m == y else m for i, m in least.items()}
-    assert sum(0.6 <= j < 0.8 for j in alike.values()) > 0.9 * len(alike) and len(set(least.values())) == 100
+    least, links = kept_by_brute_force(pairs)
+    assert len(least) == 100 and links == 20
     kept = {r["doc_id"] for r in simhash.drop_near_duplicates(docs(pairs), words=2, band=2, tile=tile).collect()}  # wide buckets
-    assert kept == set(least.values())
+    assert kept == least
+
+
+def test_near_dedup_of_templated_texts(docs, prose):
+    """A template at 0.73 between any two, and a copy of each at 0.95 or more."""
+    template, data = prose(150, 3, 5000), []
+    for i in range(150):
+        own = prose(24, 1000 + i, 5000).split()
+        data += [(i, f"{template} {' '.join(own)}"), (1000 + i, f"{template} {' '.join(own[:12] + ['edited'] + own[13:])}")]
+    assert {r["doc_id"] for r in simhash.drop_near_duplicates(docs(data)).select("doc_id").collect()} == set(range(150))
+
+
+def test_near_dedup_on_a_table_against_brute_force(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    data = [(r["doc_id"], r["text"]) for r in rows.collect()]
+    least, links = kept_by_brute_force(data)
+    assert links and {r["doc_id"] for r in simhash.drop_near_duplicates(rows).select("doc_id").collect()} == least
+
+
+def test_near_dedup_of_odd_rows(docs, prose):
+    """Rows without an id stay; a row repeated whole stays repeated; rows of one id are judged by their own texts."""
+    long = prose(40, 1)
+    data = [*ODD, (50, long), (51, long), (50, prose(40, 2)), (60, prose(40, 2)), (70, "x y " * 20000), (71, "x y " * 20000)]
+    kept = Counter((r["doc_id"], r["text"]) for r in simhash.drop_near_duplicates(docs(data)).collect())
+    assert kept[(None, "no id here at all")] == 1 and kept[(4, "one")] == 2 and kept[(50, long)] == 1 and kept[(50, prose(40, 2))] == 1
+    assert {i for i, _ in kept} == {None, 1, 4, 5, 6, 7, 50, 70}  # texts without a word are one group
+    assert simhash.drop_near_duplicates(docs([])).count() == 0
+
+
+def test_all_rows_against_a_block_of_them():
+    rng = np.random.default_rng(0)
+    f = rng.integers(0, 2**63, (300, 4), dtype=np.uint64)
+    f[1::3] = f[::3] ^ (np.uint64(1) << rng.integers(0, 63, (100, 4)).astype(np.uint64))
+    far = np.bitwise_count(f[:, None] ^ f[None]).sum(2)
+    np.fill_diagonal(far, 999)
+    bits = np.unpackbits(f.view(np.uint8).reshape(300, -1), axis=1, bitorder="little").T
+    wide = np.zeros((256, 320), np.uint8)
+    wide[:, :300] = bits
+    for radius in (2, 4, 9, 100, 120, 140):
+        got = simhash.within_all(np.packbits(wide, axis=1, bitorder="little").view(np.uint64), (-bits.astype(np.int64)).view(np.uint64), radius)[:, :300]
+        np.fill_diagonal(got, False)
+        assert (got == (far <= radius)).all()
+    hits = far <= 120
+    for found in (simhash.nearest, simhash.hit_rows):
+        rows = [x for r in found(np.zeros(300, int), f, 120, np.full(300, 2), np.arange(300)) for x in zip(*map(np.ndarray.tolist, r))]
+        named = defaultdict(set)
+        for i, j, d, more in rows:
+            assert d == far[i, j] <= 120 and more == (hits[i].sum() > 2)
+            named[i].add(j)
+        for i in range(300):
+            true = set(np.flatnonzero(hits[i]).tolist())
+            assert named[i] <= true and (len(true) > 2 or named[i] == true)
+            assert not true or (min(true) in named[i] and far[i][list(named[i])].min() == far[i].min())
 
 
 def test_components_of_a_chain_and_a_star(spark):
