@@ -1,14 +1,20 @@
 """Quality rules: robust multivariate outliers by minimum-covariance-determinant estimates.
 
 One pass over whole texts gives counts and a transformed statistic vector per document. Documents are put in
-cells (language and source; a cell under ``min_cell`` rows is pooled into its language, then into one cell).
-Each cell's estimate is found by concentration steps over *all* its rows: distances under the present mean
-and covariance, the share ``h`` of rows with least distance, mean and covariance of these, again. Order
-statistics come from histograms of fixed bins and moments from partial sums, so no cell is ever gathered in
-one task, however many rows it has. A document is rejected if its squared Mahalanobis distance is over the
-cut.
-
-Null text has no words and fails the base rules; null language or source is a value of its own; an empty
+cells: language and source, or, for a pair with under ``min_cell`` rows, the language, or all, whichever first has so
+many. A pooled cell is fitted on *all* rows of its language, or of the table, not on its small sources alone.
+
+Each cell's estimate is the covariance of the share ``h`` of its rows with the least determinant that several starts
+lead to: the classical estimate, medians with spreads, spatial signs, and hyperbolic tangents of standardised values.
+A concentration step takes the ``h`` rows of least distance and their mean and covariance; it never raises the
+determinant. All starts take two steps; the best of each cell goes on until no cell's determinant falls by a hundredth.
+The estimate is then reweighted: mean and covariance of all rows within the 0.975 quantile. Steps are over *all* rows:
+order statistics come from histograms of fixed bins (of a distance 2.2 %) and moments from partial sums, so no cell is
+ever gathered in one task, however many rows it has. A document is rejected if its squared Mahalanobis distance is
+over the cut.
+
+Null text has no words and fails the base rules; null language or source is a value of its own; repeated rows are rows
+each; a cell of which no row passes the base rules has no estimate and rejects by the base rules alone; an empty
 table gives an empty result; other columns are ignored.
 """
 
@@ -16,12 +22,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, small_side
+from .common import fits, materialize, partitions, small_side
 from .wordstream import U, Words, blocks, covered, mix, rows_of
 
 SYMBOLS = b"#*$%&|<>"
@@ -86,10 +93,13 @@ def _measured(batches: Iterator) -> Iterator:
             )
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
+
+
 def statistics(docs: DataFrame) -> DataFrame:
     """Counts, statistics and the base verdict of every document."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-    out = rows.mapInArrow(_measured, f"doc_id long, lang string, source string, {_COUNTS}, " + ", ".join(f"{f} double" for f in FEATURES))
+    out = _rows(docs).mapInArrow(_measured, f"doc_id long, lang string, source string, {_COUNTS}, " + ", ".join(f"{f} double" for f in FEATURES))
     return out.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
 
 
@@ -100,81 +110,269 @@ def chi_square(p: int, share: float) -> float:
     return p * (1 - 2 / (9 * p) + NormalDist().inv_cdf(share) * math.sqrt(2 / (9 * p))) ** 3
 
 
-def _bin(value: Column) -> Column:
-    return F.floor(F.log2(value + F.lit(2.0**-20)) * BINS_PER_OCTAVE)
+P = len(FEATURES)
+_FLOOR = np.array(list(FEATURES.values()))
+_UPPER = np.triu_indices(P)
+
+
+def _cells_of(batch, number: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each row's cell, and its statistics."""
+    coded = batch.column("cell").dictionary_encode()
+    ids = np.array([number[c] for c in coded.dictionary.to_pylist()], np.int64)
+    return ids[coded.indices.to_numpy()], np.stack([batch.column(f).to_numpy() for f in FEATURES], 1)
+
+
+class Cells:
+    """Passes over ``rows`` (cell, features) for the cells ``names``, whose models are arrays on the driver: as many as
+    there are cells, which the caller bounds."""
+
+    def __init__(self, rows: DataFrame, names: list[str]):
+        self.rows, self.names = rows, names
+        self.sc = rows.sparkSession.sparkContext
+        self.number = self.sc.broadcast({c: i for i, c in enumerate(names)})
+
+    def quantiles(self, values, width: int, share: float) -> np.ndarray:
+        """(cells, width): the bin that holds the quantile of each of the ``width`` binned values that
+        ``values(cell numbers, statistics)`` gives of a row."""
+        number = self.number
+
+        def run(batches: Iterator) -> Iterator:
+            import pyarrow as pa
+
+            for batch in batches:
+                cell, x = _cells_of(batch, number.value)
+                bins = values(cell, x).astype(np.int64)
+                for k in range(width):
+                    keys, n = np.unique(np.stack((cell, bins[:, k])), axis=1, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[0]), pa.array(np.full(len(n), k)), pa.array(keys[1]), pa.array(n)], names=["cell", "k", "bin", "n"])
+
+        per_bin = self.rows.mapInArrow(run, "cell long, k long, bin long, n long").groupBy("cell", "k", "bin").agg(F.sum("n").alias("n"))
+        w = Window.partitionBy("cell", "k")
+        ranked = per_bin.withColumn("upto", F.sum("n").over(w.orderBy("bin"))).withColumn("all", F.sum("n").over(w))
+        out = np.zeros((len(self.names), width))
+        for r in ranked.filter(F.col("upto") >= F.ceil(F.col("all") * share)).groupBy("cell", "k").agg(F.min("bin").alias("bin")).collect():
+            out[r["cell"], r["k"]] = r["bin"]
+        return out
+
+    def moments(self, values, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(cells, width) counts, means and second moments of the vectors that ``values(cell numbers, statistics)``
+        gives: for each of ``width`` kinds the vectors and a mask of the rows that count."""
+        number, spark = self.number, self.rows.sparkSession
+
+        def packed(cell: np.ndarray, kind: np.ndarray, sums: np.ndarray):
+            import pyarrow as pa
+
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sums) + 1) * sums.shape[1], pa.int32()), pa.array(sums.ravel()))
+            return pa.RecordBatch.from_arrays([pa.array(cell), pa.array(kind), lists], names=["cell", "k", "sums"])
+
+        def added(key: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            order = np.argsort(key, kind="stable")
+            new = np.flatnonzero(np.diff(key[order], prepend=-1))
+            return key[order][new], np.add.reduceat(rows[order], new) if len(new) else rows
+
+        def partial(batches: Iterator) -> Iterator:
+            for batch in batches:
+                cell, x = _cells_of(batch, number.value)
+                for k, (v, ok) in enumerate(values(cell, x)):
+                    v = v[ok]
+                    keys, sums = added(cell[ok], np.concatenate((np.ones((len(v), 1)), v, (v[:, :, None] * v[:, None, :])[:, _UPPER[0], _UPPER[1]]), 1))
+                    yield packed(keys, np.full(len(keys), k), sums)
 
+        def whole(batches: Iterator) -> Iterator:
+            key, sums = np.zeros(0, np.int64), np.zeros((0, 1 + P + len(_UPPER[0])))
+            for batch in batches:  # what is held is a row for each cell and kind
+                more = batch.column("sums").flatten().to_numpy().reshape(batch.num_rows, -1)
+                key, sums = added(np.concatenate((key, batch.column("cell").to_numpy() * width + batch.column("k").to_numpy())), np.concatenate((sums, more)))
+            yield packed(key // width, key % width, sums)
 
-def _binned_quantile(df: DataFrame, value: Column, share: float, name: str) -> DataFrame:
-    """(cell, upper edge of the bin that holds the quantile of the non-negative value)."""
-    per_bin = df.groupBy("cell", _bin(value).alias("bin")).agg(F.count("*").alias("n"))
-    w = Window.partitionBy("cell")
-    ranked = per_bin.withColumn("upto", F.sum("n").over(w.orderBy("bin"))).withColumn("all", F.sum("n").over(w))
-    return ranked.filter(F.col("upto") >= F.ceil(F.col("all") * share)).groupBy("cell").agg(F.pow(F.lit(2.0), (F.min("bin") + 1) / BINS_PER_OCTAVE).alias(name))
+        kinds = "cell long, k long, sums array<double>"
+        n, mean, second = np.zeros((len(self.names), width)), np.zeros((len(self.names), width, P)), np.zeros((len(self.names), width, P, P))
+        for r in self.rows.mapInArrow(partial, kinds).repartition(partitions(spark), "cell").mapInArrow(whole, kinds).collect():
+            c, k, sums = r["cell"], r["k"], np.array(r["sums"])
+            n[c, k], mean[c, k] = sums[0], sums[1 : P + 1] / sums[0]
+            second[c, k][_UPPER] = sums[P + 1 :] / sums[0]
+            second[c, k].T[_UPPER] = sums[P + 1 :] / sums[0]
+        return n, mean, second
 
 
-def _moments(df: DataFrame) -> DataFrame:
-    f = list(FEATURES)
-    sums = [F.sum(a).alias(f"s_{a}") for a in f] + [F.sum(F.col(a) * F.col(b)).alias(f"p_{a}_{b}") for i, a in enumerate(f) for b in f[i:]]
-    return df.groupBy("cell").agg(F.count("*").alias("n"), *sums)
+@dataclass
+class Models:
+    """Means (cells, width, P), inverse covariances and logs of the covariances' determinants."""
 
+    mean: np.ndarray
+    inverse: np.ndarray
+    logdet: np.ndarray
 
-def _estimate(frames: Iterator) -> Iterator:
-    """Sums of a cell -> its mean and inverse covariance (row by row of the matrix)."""
-    import pandas as pd
+    @classmethod
+    def of(cls, mean: np.ndarray, cov: np.ndarray) -> Models:
+        cov = cov + np.diag(_FLOOR**2)
+        return cls(mean, np.linalg.inv(cov), np.linalg.slogdet(cov)[1])
 
-    f = list(FEATURES)
-    least = np.array(list(FEATURES.values())) ** 2
-    for frame in frames:
-        out = []
-        for r in frame.to_dict("records"):
-            mean = np.array([r[f"s_{a}"] for a in f]) / r["n"]
-            second = np.array([[r[f"p_{a}_{b}" if i <= j else f"p_{b}_{a}"] for j, b in enumerate(f)] for i, a in enumerate(f)]) / r["n"]
-            cov = second - np.outer(mean, mean)
-            cov[np.diag_indices(len(f))] += least
-            out.append((r["cell"], mean.tolist(), np.linalg.inv(cov).ravel().tolist()))
-        yield pd.DataFrame(out, columns=["cell", "mean", "inverse"])
+    def distances(self, cell: np.ndarray, x: np.ndarray) -> np.ndarray:
+        off = x[:, None, :] - self.mean[cell]
+        return np.einsum("nki,nkij,nkj->nk", off, self.inverse[cell], off, optimize=True)
+
+    def best(self) -> Models:
+        at = np.arange(len(self.mean)), self.logdet.argmin(1)
+        return Models(self.mean[at][:, None], self.inverse[at][:, None], self.logdet[at][:, None])
+
+
+def _bins(distance: np.ndarray) -> np.ndarray:
+    return np.floor(np.log2(distance + 2.0**-20) * BINS_PER_OCTAVE)
+
+
+def _edge(bins: np.ndarray) -> np.ndarray:
+    return 2.0 ** ((bins + 1) / BINS_PER_OCTAVE)
+
+
+def _start(cells: Cells) -> Models:
+    """What concentration begins with: classical, medians and spreads, signs, tangents."""
+    fine = _FLOOR / 16
+    centre = (cells.quantiles(lambda _, x: np.floor(x / fine), P, 0.5) + 0.5) * fine
+    spread = (cells.quantiles(lambda c, x: np.floor(np.abs(x - centre[c]) / fine), P, 0.5) + 0.5) * fine * 1.4826
+
+    def vectors(cell: np.ndarray, x: np.ndarray) -> list:
+        z, ok = (x - centre[cell]) / (spread[cell] + _FLOOR), np.ones(len(x), bool)
+        return [(x, ok), (z / (np.linalg.norm(z, axis=1, keepdims=True) + 1e-9), ok), (np.tanh(z), ok)]
+
+    _, mean, second = cells.moments(vectors, 3)
+    scale = spread[:, :, None] * spread[:, None, :]
+    middle = mean[:, :, :, None] * mean[:, :, None, :]
+    covs = [second[:, 0] - middle[:, 0], scale * np.eye(P), scale * second[:, 1] * P, scale * (second[:, 2] - middle[:, 2])]
+    return Models.of(np.stack((mean[:, 0], centre, centre, centre), 1), np.stack(covs, 1))
+
+
+def _step(cells: Cells, models: Models, h: float) -> Models:
+    """One concentration step of every model: mean and covariance of the share ``h`` of least distance."""
+    width = models.mean.shape[1]
+    cut = _edge(cells.quantiles(lambda c, x: _bins(models.distances(c, x)), width, h))
+
+    def inner(cell: np.ndarray, x: np.ndarray) -> list:
+        return [(x, ok) for ok in (models.distances(cell, x) <= cut[cell]).T]
+
+    _, mean, second = cells.moments(inner, width)
+    return Models.of(mean, second - mean[:, :, :, None] * mean[:, :, None, :])
+
+
+def least_determinant(cells: Cells, h: float, most_steps: int = 30) -> Models:
+    """The model of each cell: see the module."""
+    models = _start(cells)
+    for _ in range(2):
+        models = _step(cells, models, h)
+    models = models.best()
+    for _ in range(most_steps):
+        after = _step(cells, models, h)
+        fell = (models.logdet - after.logdet).max(initial=0)
+        models = after
+        if fell < 1e-2:
+            break
+    return models
+
+
+def _scale(cells: Cells, models: Models) -> np.ndarray:
+    """What puts each cell's distances on the chi-square scale by their median; 1 at least."""
+    return np.maximum(1.0, _edge(cells.quantiles(lambda c, x: _bins(models.distances(c, x)), 1, 0.5)) / chi_square(P, 0.5))
+
+
+def _fit_cells(cells: Cells, h: float) -> list[tuple]:
+    """(cell, mean, inverse, scale) of the reweighted estimates."""
+    raw = least_determinant(cells, h)
+    most = _scale(cells, raw) * chi_square(P, 0.975)
+    _, mean, second = cells.moments(lambda c, x: [(x, raw.distances(c, x)[:, 0] <= most[c, 0])], 1)
+    final = Models.of(mean, second - mean[:, :, :, None] * mean[:, :, None, :])
+    scale = _scale(cells, final)
+    return [(c, final.mean[i, 0].tolist(), final.inverse[i, 0].ravel().tolist(), float(scale[i, 0])) for i, c in enumerate(cells.names)]
 
 
 def _distance() -> Column:
-    f = list(FEATURES)
-    off = [F.col(a) - F.col("mean")[i] for i, a in enumerate(f)]
-    return sum((off[i] * off[j] * F.col("inverse")[i * len(f) + j] * (1 if i == j else 2) for i in range(len(f)) for j in range(i, len(f))), F.lit(0.0))
+    """Squared distance of a row's features under ``mean`` and ``inverse``."""
+    off = F.zip_with(F.array(*FEATURES), "mean", lambda x, m: x - m)
+    return F.aggregate(F.transform(off, lambda x, i: x * F.aggregate(F.zip_with(off, F.slice("inverse", i * P + 1, P), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)), F.lit(0.0), lambda s, v: s + v)
 
 
-def with_cells(stats: DataFrame, min_cell: int, most_cells: int) -> DataFrame:
-    """Adds ``cell``: language and source, or the language, or all, whichever first has ``min_cell`` rows."""
-    key = F.concat_ws("\x1f", F.coalesce("lang", F.lit("\x00")), F.coalesce("source", F.lit("\x00")))
-    counts = stats.groupBy("lang", "source").agg(F.count("*").alias("n")).withColumn("m", F.sum("n").over(Window.partitionBy("lang")))
-    cells = counts.select(F.col("lang").alias("l"), F.col("source").alias("s"), F.when(F.col("n") >= min_cell, key).when(F.col("m") >= min_cell, F.coalesce("lang", F.lit("\x00"))).otherwise("").alias("cell"))
-    cells = small_side(materialize(cells, "cells"), most_cells)
-    return stats.join(cells, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s"))).drop("l", "s")
+def _pooled(stats: DataFrame, min_cell: int) -> DataFrame:
+    """(lang, source, cell, fits): the cell that judges a pair's documents, and the cells its rows are fitted in."""
+    text = lambda c: F.coalesce(F.col(c), F.lit("\x00"))
+    n = stats.groupBy("lang", "source").agg(F.count(F.when(~F.col("base_failed"), 1)).alias("n"))
+    of_lang, whole = Window.partitionBy("lang"), Window.partitionBy(F.lit(1))
+    cell, lang, every = F.concat_ws("\x1f", F.lit("pair"), text("lang"), text("source")), F.concat_ws("\x1f", F.lit("lang"), text("lang")), F.lit("all")
+    own = n.withColumn("m", F.sum("n").over(of_lang)).withColumn("cell", F.when(F.col("n") >= min_cell, cell).when(F.col("m") >= min_cell, lang).otherwise(every))
+    need = own.withColumn("lang_used", F.max((F.col("cell") == lang).cast("int")).over(of_lang) > 0).withColumn("all_used", F.max((F.col("cell") == every).cast("int")).over(whole) > 0)
+    fits = F.array_compact(F.array(F.when(F.col("n") >= min_cell, cell), F.when(F.col("lang_used"), lang), F.when(F.col("all_used"), every)))
+    return materialize(need.select("lang", "source", "cell", fits.alias("fits")), "quality-pairs")
 
 
-def reject_outliers(docs: DataFrame, h: float = 0.75, steps: int = 4, tail: float = 1e-4, slack: float = 1.2, min_cell: int = 100, most_cells: int = 100_000) -> DataFrame:
+def _same_pair(a: str = "lang", b: str = "source") -> Column:
+    return F.col(a).eqNullSafe(F.col("__l")) & F.col(b).eqNullSafe(F.col("__s"))
+
+
+def fit(stats: DataFrame, h: float = 0.75, min_cell: int = 40, most_cells: int = 20_000) -> DataFrame:
+    """(lang, source, mean, inverse, scale) of every pair of language and source of ``stats`` (written statistics).
+
+    ``h``: share of a cell that carries its estimate. ``min_cell``: five rows for each statistic, the least that
+    the literature gives for such an estimate. ``scale`` puts a cell's distances on the chi-square scale by their
+    median. Cells are fitted about ``most_cells`` at a time, which bounds what the driver and a task hold.
+    """
+    spark = stats.sparkSession
+    pairs = _pooled(stats, min_cell)
+    sides = small_side(pairs.select(F.col("lang").alias("__l"), F.col("source").alias("__s"), "fits"), most_cells)
+    rows = stats.filter(~F.col("base_failed")).join(sides, _same_pair()).select(F.explode("fits").alias("cell"), *FEATURES)
+    rows = materialize(rows, "quality-rows")
+    every = materialize(pairs.select(F.explode("fits").alias("cell")).distinct(), "quality-cells")
+    parts = -(-every.count() // most_cells)
+    models, part = None, lambda n: F.pmod(F.xxhash64("cell"), F.lit(max(1, parts))) == n
+    for n in range(max(1, parts)):
+        names = sorted(r["cell"] for r in every.filter(part(n)).collect())
+        found = spark.createDataFrame(_fit_cells(Cells(rows.filter(part(n)) if parts > 1 else rows, names), h) if names else [], "cell string, mean array<double>, inverse array<double>, scale double")
+        models = found if models is None else models.union(found)
+    return materialize(pairs.join(models, "cell").select("lang", "source", "mean", "inverse", "scale"), "quality-models")
+
+
+def reject_outliers(docs: DataFrame, h: float = 0.75, tail: float = 1e-4, slack: float = 1.2, min_cell: int = 40, most_cells: int = 20_000) -> DataFrame:
     """Per document: counts, base verdict, squared distance and the final verdict ``kept``.
 
-    ``h``: share of a cell that carries its estimate. ``steps``: concentration steps. A distance is put on the
-    chi-square scale by the cell's median and compared with ``slack`` times the quantile at 1 - ``tail``.
-    Models are broadcast while there are at most ``most_cells`` of them, else joined by shuffle.
+    A scaled squared distance is compared with ``slack`` times the chi-square quantile at 1 - ``tail``.
     """
-    p = len(FEATURES)
-    stats = materialize(with_cells(materialize(statistics(docs), "quality-stats"), min_cell, most_cells), "quality-cells")
-    passed = stats.filter(~F.col("base_failed"))
-    fitted = materialize(_moments(passed).mapInPandas(_estimate, "cell string, mean array<double>, inverse array<double>"), "quality-start")
-    for _ in range(steps):
-        near = passed.join(small_side(fitted, most_cells), "cell").withColumn("d2", _distance())
-        cut = materialize(_binned_quantile(near, F.col("d2"), h, "cut"), "quality-cut")
-        inner = near.join(small_side(cut, most_cells), "cell").filter(F.col("d2") <= F.col("cut"))
-        fitted = materialize(_moments(inner).mapInPandas(_estimate, "cell string, mean array<double>, inverse array<double>"), "quality-fit")
-    near = passed.join(small_side(fitted, most_cells), "cell").withColumn("d2", _distance())
-    middle = materialize(_binned_quantile(near, F.col("d2"), 0.5, "middle"), "quality-middle")
-    model = fitted.join(middle, "cell").withColumn("scale", F.greatest(F.lit(1.0), F.col("middle") / chi_square(p, 0.5)))
-    scored = stats.join(small_side(model, most_cells), "cell", "left").withColumn("distance2", _distance() / F.col("scale"))
-    verdict = ~F.col("base_failed") & (F.col("distance2") <= slack * chi_square(p, 1 - tail))
+    stats = materialize(statistics(docs), "quality-stats")
+    models = fit(stats, h, min_cell, most_cells).withColumnsRenamed({"lang": "__l", "source": "__s"})
+    scored = stats.join(small_side(models, most_cells), _same_pair(), "left").withColumn("distance2", _distance() / F.col("scale"))
+    verdict = ~F.col("base_failed") & (F.col("distance2") <= slack * chi_square(len(FEATURES), 1 - tail))
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.coalesce(verdict, ~F.col("base_failed")).alias("kept"), "distance2")
 
 
-def keep_good(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without the rejected documents; all columns stay. A null doc_id is kept only with a kept row."""
-    bad = reject_outliers(docs, **options).filter(~F.col("kept")).select(F.col("doc_id").alias("__bad"))
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("__bad")), "left_anti")
+def keep_good(docs: DataFrame, h: float = 0.75, tail: float = 1e-4, slack: float = 1.2, min_cell: int = 40, most_cells: int = 20_000) -> DataFrame:
+    """``docs`` without the rejected documents; all columns stay.
+
+    Each row is judged by its own text, so null and repeated doc_ids make no difference: the models go to every task
+    and a second scan measures and filters, without a shuffle of the texts. Above ``most_cells`` pairs of language and
+    source their models are joined to the rows instead.
+    """
+    models = fit(materialize(statistics(docs), "quality-stats"), h, min_cell, most_cells)
+    cut = slack * chi_square(len(FEATURES), 1 - tail)
+    schema, extra = docs.schema, ["__l", "__s", "__t"]
+    rows = docs.select("*", F.col("lang").cast("string").alias("__l"), F.col("source").cast("string").alias("__s"), F.col("text").cast("string").alias("__t"))
+    known = None
+    if fits(models, most_cells):
+        known = docs.sparkSession.sparkContext.broadcast({(r["lang"], r["source"]): (np.array(r["mean"]), np.array(r["inverse"]).reshape(len(FEATURES), -1), r["scale"]) for r in models.collect()})
+    else:
+        keyed = models.select(F.col("lang").alias("__ml"), F.col("source").alias("__ms"), F.struct("mean", "inverse", "scale").alias("__m"))
+        rows = rows.join(keyed, F.col("__l").eqNullSafe(F.col("__ml")) & F.col("__s").eqNullSafe(F.col("__ms")), "left").drop("__ml", "__ms")
+        extra = [*extra, "__m"]
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            keep = []
+            for part in blocks(rows_of(batch, *(c for c in extra if c != "__t"), text="__t")):
+                counts, stats = measure([r[-1] for r in part])
+                for (lang, source, *own, _), (n, *_, again), x in zip(part, counts.tolist(), stats, strict=True):
+                    model = known.value.get((lang, source)) if known is not None else own[0] and (np.array(own[0]["mean"]), np.array(own[0]["inverse"]).reshape(len(x), -1), own[0]["scale"])
+                    good = n >= 20 and 100 * again <= 30 * n
+                    if good and model:
+                        off = x - model[0]
+                        good = off @ model[1] @ off <= cut * model[2]
+                    keep.append(bool(good))
+            yield batch.select(schema.names).filter(pa.array(keep, pa.bool_()))
+
+    return rows.mapInArrow(run, schema)

@@ -101,6 +101,48 @@ def test_estimates_are_robust(docs, prose):
     assert all(got[i] for i in range(180)) and not any(got[500 + i] for i in range(20))
 
 
+def test_the_least_determinant_is_found(spark):
+    """Cells of known shape, some with clusters: the determinant is not over
+    that of the best of 200 random starts by plain concentration."""
+    rng = np.random.default_rng(3)
+    p, h = len(quality.FEATURES), 0.6
+    cells = {"plain": rng.normal(3, 1, (300, p)), "cluster": np.concatenate((rng.normal(3, 1, (210, p)), rng.normal(9, 0.05, (90, p)))), "junk": np.concatenate((rng.normal(3, 1, (240, p)), rng.normal(9, 1, (60, p)))), "constant": np.full((60, p), 2.0)}
+    rows = spark.createDataFrame([(c, *map(float, r)) for c, x in cells.items() for r in x], "cell string, " + ", ".join(f"{f} double" for f in quality.FEATURES))
+    names = sorted(cells)
+    got = quality.least_determinant(quality.Cells(rows, names), h)
+    least = np.diag(np.array(list(quality.FEATURES.values())) ** 2)
+
+    def steps(x, subset):
+        for _ in range(30):
+            mean, cov = x[subset].mean(0), np.cov(x[subset].T, bias=True) + least
+            off = x - mean
+            subset = np.argsort(np.einsum("ij,jk,ik->i", off, np.linalg.inv(cov), off))[: int(np.ceil(h * len(x)))]
+        return np.linalg.slogdet(np.cov(x[subset].T, bias=True) + least)[1]
+
+    for c, x in cells.items():
+        best = min(steps(x, rng.choice(len(x), p + 1, replace=False)) for _ in range(200))
+        assert got.logdet[names.index(c), 0] <= best + 0.15
+    assert np.allclose(got.mean[names.index("junk"), 0], 3, atol=0.5)
+
+
+def test_pools_and_repeated_ids(docs, prose):
+    """Junk of a rare source, of a rare language, and among rows of one id or of none, is judged by what it is pooled with."""
+    junk = lambda s: " | ".join(prose(80, s).upper().split())
+    good = docs([(i, prose(60 + i % 40, i)) for i in range(120)])
+    rare = docs([(500, prose(70, 1)), (501, junk(1))], source="rare").union(docs([(600, junk(2)), (601, prose(75, 4))], lang="xx", source=None))
+    mixed = docs([(700, prose(70, 9)), (700, junk(3)), (None, prose(71, 8)), (None, junk(4))], lang=None)
+    every = good.union(rare).union(mixed).union(docs(ODD, lang="", source=""))
+    got = Counter((r["doc_id"], r["kept"]) for r in quality.reject_outliers(every).collect())
+    for i in (500, 601, 700, None):
+        assert got[(i, True)] == 1
+    for i in (501, 600, 700):
+        assert got[(i, False)] == 1
+    kept = Counter(r["doc_id"] for r in quality.keep_good(every).collect())
+    assert kept == Counter({i: n for (i, ok), n in got.items() if ok}) and kept[700] == 1 and kept[None] == 1
+    joined = Counter(r["doc_id"] for r in quality.keep_good(every, most_cells=3).collect())  # in parts, and by a join
+    assert joined == kept and quality.keep_good(docs([])).count() == 0
+
+
 # 3 ------------------------------------------------------------------------------------------------------
 
 
