@@ -14,8 +14,9 @@ the input, whatever happens to the earlier line.
    A key's lines point to its earliest line only, so evidence grows with lines, not with pairs.
 5. Each piece of evidence is verified by edit distance on the texts.
 
-Null text has no lines; blank lines stay; rows with a null doc_id are left as they are; rows that repeat a
-doc_id are one document given twice; empty tables give empty results; no other column is read.
+Null text has no lines; blank lines stay; rows with a null doc_id are left as they are; rows that repeat doc_id and
+text are one document given twice; rows of one doc_id with different texts are documents of their own, the earlier
+that of the smaller CRC-32 of its text; empty tables give empty results; no other column is read.
 """
 
 from __future__ import annotations
@@ -29,15 +30,25 @@ BLOCK = 32
 _WORD = "[^\\x20\\x09-\\x0D]"
 
 
-def _at(doc: str = "doc_id", pos: str = "pos") -> Column:
-    """(doc_id, place) as one number that sorts alike."""
-    return (F.col(doc).cast("decimal(20,0)") * F.lit(2**31).cast("decimal(11,0)") + F.col(pos)).cast("decimal(38,0)")
+#: Where a line stands in its document: (CRC-32 of the document's text, line), so that rows of one doc_id with different
+#: texts are documents of their own, in order of their CRC.
+_SPOT = 2**63
+
+
+def _at() -> Column:
+    """(doc_id, spot) as one number that sorts alike."""
+    return (F.col("doc_id").cast("decimal(20,0)") * F.lit(str(_SPOT)).cast("decimal(19,0)") + F.col("spot")).cast("decimal(38,0)")
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, crc, text) of the documents that have an id."""
+    text = F.col("text").cast("string")
+    return docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.crc32(text).alias("crc"), text.alias("text"))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    lines = rows.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).filter(F.col("line").rlike(_WORD))
-    return lines.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(1), "line"))
+    lines = _rows(docs).select("doc_id", "crc", F.posexplode(F.split("text", "\n")).alias("pos", "line")).filter(F.col("line").rlike(_WORD))
+    return lines.withColumn("spot", F.col("crc") * (1 << 31) + F.col("pos")).withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(1), "line"))
 
 
 def _half_keys() -> list[Column]:
@@ -72,15 +83,17 @@ def _near(docs: DataFrame, distinct: DataFrame, min_chars: int, broadcast_rows:
     halves = long.select("at", F.explode("halves").alias("half"))
     met = halves.groupBy("half").agg(F.count("*").alias("n")).filter("n > 1").select("half")
     asked = halves.join(met, "half").select("at").distinct()
-    places = asked.select(F.floor(F.col("at") / 2**31).cast("long").alias("doc"), F.pmod("at", F.lit(2**31).cast("decimal(38,0)")).cast("int").alias("pos"))
-    places = materialize(places.groupBy("doc").agg(F.collect_set("pos").alias("want")), "line-places")
-    texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = texts.join(_side(places, "want", broadcast_rows), F.col("doc_id") == F.col("doc")).select("doc_id", F.split("text", "\n").alias("lines"), F.explode("want").alias("pos"))
-    found = found.select("doc_id", "pos", F.get("lines", F.col("pos")).alias("line")).filter("line is not null")
+    spot = F.pmod("at", F.lit(str(_SPOT)).cast("decimal(38,0)"))
+    places = asked.select(((F.col("at") - spot) / F.lit(str(_SPOT)).cast("decimal(38,0)")).cast("long").alias("doc"), spot.cast("long").alias("spot"))
+    places = places.groupBy("doc", F.shiftright("spot", 31).alias("of")).agg(F.collect_set(F.col("spot").bitwiseAND(F.lit((1 << 31) - 1)).cast("int")).alias("want"))
+    places = materialize(places, "line-places")
+    found = _rows(docs).join(_side(places, "want", broadcast_rows), (F.col("doc_id") == F.col("doc")) & (F.col("crc") == F.col("of"))).select("doc_id", "crc", F.split("text", "\n").alias("lines"), F.explode("want").alias("pos"))
+    found = found.select("doc_id", (F.col("crc") * (1 << 31) + F.col("pos")).alias("spot"), F.get("lines", F.col("pos")).alias("line")).filter("line is not null")
     lines = materialize(found.select(_at().alias("at"), "line", F.length("line").alias("size")).dropDuplicates(["at"]), "line-candidates")
 
     variants = _neighbourhood(lines).select("at", "size", F.explode(F.concat(F.array(F.struct(F.lit(-1).alias("place"), F.col("own").alias("key"))), "variants")).alias("v"))
     keys = variants.select("at", F.when(F.col("v.place") < 0, F.col("size")).otherwise(F.col("size") - 1).alias("length"), "v.place", "v.key")
+    keys = materialize(keys, "line-variants")  # read twice
     shared = keys.groupBy("length", "key").agg(F.min("at").alias("low"), F.max("at").alias("high")).filter("low < high").select("length", "key")
     keys = materialize(keys.join(shared, ["length", "key"]), "line-keys")
     alike = keys.filter("place >= 0").groupBy("length", "key", "place").agg(F.min("at").alias("first"), F.max("at").alias("last")).filter("first < last").drop("last")
@@ -100,7 +113,7 @@ def _side(df: DataFrame, lists: str, rows: int) -> DataFrame:
 
 
 def repeated_lines(docs: DataFrame, min_chars: int = 20, broadcast_rows: int = 300_000) -> DataFrame:
-    """(doc_id, equal: places of lines equal to an earlier one, near: places of other lines that go) of the
+    """(__doc, __crc, equal: places of lines equal to an earlier one, near: places of other lines that go) of the
     documents that lose lines."""
     lines = _lines(docs).withColumn("size", F.length("line"))
     keyed = lines.select("h1", "h2", _at().alias("at"), "size", F.when(F.col("size") >= min_chars, F.array(*_half_keys())).alias("halves"))
@@ -109,16 +122,17 @@ def repeated_lines(docs: DataFrame, min_chars: int = 20, broadcast_rows: int = 3
     distinct = materialize(distinct.withColumn("halves", F.array("k0", "k1", "k2", "k3")).drop("k0", "k1", "k2", "k3"), "line-distinct")
     near = materialize(_near(docs, distinct, min_chars, broadcast_rows), "line-near").select("at", F.lit(True).alias("near"))
     fate = distinct.select("h1", "h2", "n", F.col("at").alias("first")).join(near.withColumnRenamed("at", "first"), "first", "left").filter("n > 1 or near").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    gone = _lines(docs).select("doc_id", "pos", "h1", "h2").join(fate, ["h1", "h2"])
+    gone = _lines(docs).select("doc_id", "crc", "spot", "pos", "h1", "h2").join(fate, ["h1", "h2"])
     equal = _at() > F.col("first")
-    gone = gone.select("doc_id", "pos", equal.alias("equal"), "near").filter("equal or near")
-    return materialize(gone.groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set(F.when(F.col("equal"), F.col("pos"))).alias("equal"), F.collect_set(F.when(~F.col("equal"), F.col("pos"))).alias("near")), "line-gone")
+    gone = gone.select("doc_id", "crc", "pos", equal.alias("equal"), "near").filter("equal or near")
+    return materialize(gone.groupBy(F.col("doc_id").alias("__doc"), F.col("crc").alias("__crc")).agg(F.collect_set(F.when(F.col("equal"), F.col("pos"))).alias("equal"), F.collect_set(F.when(~F.col("equal"), F.col("pos"))).alias("near")), "line-gone")
 
 
 def _joined(docs: DataFrame, min_chars: int, broadcast_rows: int) -> DataFrame:
     gone = repeated_lines(docs, min_chars, broadcast_rows)
     gone = _side(gone.withColumn("__gone", F.concat("equal", "near")), "__gone", broadcast_rows)
-    return docs.join(gone.select("__doc", F.size("equal").alias("__equal"), F.size("near").alias("__near"), "__gone"), docs["doc_id"].cast("long") == F.col("__doc"), "left")
+    same = (docs["doc_id"].cast("long") == F.col("__doc")) & (F.crc32(docs["text"].cast("string")) == F.col("__crc"))
+    return docs.join(gone.select("__doc", "__crc", F.size("equal").alias("__equal"), F.size("near").alias("__near"), "__gone"), same, "left")
 
 
 def _kept_text() -> Column:

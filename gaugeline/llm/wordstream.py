@@ -84,6 +84,13 @@ class Words:
     def hash_at(self, at: np.ndarray, k: int) -> np.ndarray:
         return mix(_spans(self.hashes, at, at + k, _STEP) + U(k))
 
+    def second_at(self, at: np.ndarray, k: int) -> np.ndarray:
+        """As ``hash_at``, by hashes of other bases throughout: 128 bits with it."""
+        if not hasattr(self, "_other"):
+            salted = mix(np.frombuffer(self.data, np.uint8).astype(U) + U(0x51ED270B))
+            self._other = mix(_spans(salted, self.starts, self.ends, _STEP) + (self.ends - self.starts).astype(U))
+        return mix(_spans(self._other, at, at + k, _BASE) + U(k))
+
     def word(self, i: int) -> bytes:
         return self.data[self.starts[i] : self.ends[i]]
 

@@ -64,6 +64,10 @@ def test_lines_against_brute_force(docs, prose, broadcast_rows):
         assert got[i]["n_equal"] + got[i]["n_near"] == len(gone)
         assert got[i]["kept_sha256"] == sha("\n".join(x for p, x in enumerate((t or "").split("\n")) if p not in gone))
     assert got[None]["n_equal"] == 0
+    twice = [(5, f"{prose(9, 1)}\n{prose(9, 2)}"), (5, f"{prose(9, 1)}\n{prose(9, 3)}"), (-7, prose(9, 4)), (9, "x" * 60000 + "\n" + prose(9, 4))]
+    got = {r["text"] for r in lines.dedup(docs(twice), broadcast_rows=broadcast_rows).collect()}
+    assert prose(9, 4) in got and "x" * 60000 in got and Counter(x for t in got for x in t.split("\n"))[prose(9, 1)] == 1
+    assert {prose(9, 2), prose(9, 3)} <= {x for t in got for x in t.split("\n")}
     kept = lines.dedup(docs(pairs))
     assert kept.columns == docs([]).columns and lines.report(docs([])).count() == 0
 
@@ -468,6 +472,15 @@ def test_substrings_against_brute_force(docs, prose, window):
     assert substrings.remove_repeats(docs([])).count() == 0
 
 
+@pytest.mark.parametrize("broadcast_rows", [1_000_000, 0])
+def test_substrings_of_rows_of_one_id(docs, prose, broadcast_rows):
+    """Places of one row say nothing of another row of the same id; rows of one id don't remove from each other."""
+    a, b, c = (prose(70, s, 5000) for s in (1, 2, 3))
+    rows = [(5, f"{a} {b}"), (5, f"{c} {c}"), (5, f"{c} {c}"), (3, b), (9, c), (10, "é " * 20000)]
+    got = Counter((r["doc_id"], r["n_words"], r["n_removed"]) for r in substrings.remove_repeats(docs(rows), broadcast_rows=broadcast_rows).collect())
+    assert got == {(5, 140, 70): 1, (5, 140, 0): 2, (3, 70, 0): 1, (9, 70, 70): 1, (10, 20000, 0): 1}
+
+
 # 8 ------------------------------------------------------------------------------------------------------
 
 
