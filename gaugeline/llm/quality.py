@@ -349,14 +349,16 @@ def keep_good(docs: DataFrame, h: float = 0.75, tail: float = 1e-4, slack: float
     """
     models = fit(materialize(statistics(docs), "quality-stats"), h, min_cell, most_cells)
     cut = slack * chi_square(len(FEATURES), 1 - tail)
-    schema, extra = docs.schema, ["__l", "__s", "__t"]
-    rows = docs.select("*", F.col("lang").cast("string").alias("__l"), F.col("source").cast("string").alias("__s"), F.col("text").cast("string").alias("__t"))
+    schema = docs.schema
+    own = {c: c if schema[c].dataType.simpleString() == "string" else f"__{c}" for c in ("lang", "source", "text")}  # no text goes twice
+    rows = docs.select("*", *(F.col(c).cast("string").alias(o) for c, o in own.items() if c != o))
+    extra, text = [own["lang"], own["source"]], own["text"]
     known = None
     if fits(models, most_cells):
         known = docs.sparkSession.sparkContext.broadcast({(r["lang"], r["source"]): (np.array(r["mean"]), np.array(r["inverse"]).reshape(len(FEATURES), -1), r["scale"]) for r in models.collect()})
     else:
         keyed = models.select(F.col("lang").alias("__ml"), F.col("source").alias("__ms"), F.struct("mean", "inverse", "scale").alias("__m"))
-        rows = rows.join(keyed, F.col("__l").eqNullSafe(F.col("__ml")) & F.col("__s").eqNullSafe(F.col("__ms")), "left").drop("__ml", "__ms")
+        rows = rows.join(keyed, F.col(own["lang"]).eqNullSafe(F.col("__ml")) & F.col(own["source"]).eqNullSafe(F.col("__ms")), "left").drop("__ml", "__ms")
         extra = [*extra, "__m"]
 
     def run(batches: Iterator) -> Iterator:
@@ -364,10 +366,10 @@ def keep_good(docs: DataFrame, h: float = 0.75, tail: float = 1e-4, slack: float
 
         for batch in batches:
             keep = []
-            for part in blocks(rows_of(batch, *(c for c in extra if c != "__t"), text="__t")):
+            for part in blocks(rows_of(batch, *extra, text=text)):
                 counts, stats = measure([r[-1] for r in part])
-                for (lang, source, *own, _), (n, *_, again), x in zip(part, counts.tolist(), stats, strict=True):
-                    model = known.value.get((lang, source)) if known is not None else own[0] and (np.array(own[0]["mean"]), np.array(own[0]["inverse"]).reshape(len(x), -1), own[0]["scale"])
+                for (lang, source, *joined, _), (n, *_, again), x in zip(part, counts.tolist(), stats, strict=True):
+                    model = known.value.get((lang, source)) if known is not None else joined[0] and (np.array(joined[0]["mean"]), np.array(joined[0]["inverse"]).reshape(len(x), -1), joined[0]["scale"])
                     good = n >= 20 and 100 * again <= 30 * n
                     if good and model:
                         off = x - model[0]
