@@ -399,7 +399,7 @@ def test_lexicon_is_a_distribution_over_spellings():
     with open(P.path("byte_bpe_50k.tiktoken"), "rb") as f:
         sub = attention_lm.Subwords(f.read(), attention_lm.PATTERN)
     words = ["bleores", "bleore", "blewhorly", "thwhorly", "thattish", "é\u00a0x", "\u00a0", "x" * 300]
-    lexicon = attention_lm.Lexicon(words, np.array([5, 1, 2, 9, 1, 1, 1, 1]), sub)
+    lexicon = attention_lm.Lexicon.of_words(words, np.array([5, 1, 2, 9, 1, 1, 1, 1]), sub)
     ids, first = sub.spell(words)
     assert [sub.encoding.decode(ids[a:b].tolist()) for a, b in zip(first, first[1:])] == [" " + w for w in words]
     inside = np.flatnonzero(~sub.starts)
@@ -410,10 +410,61 @@ def test_lexicon_is_a_distribution_over_spellings():
         at = np.arange(1, len(inside) + 1) * (len(stem) + 1) - 1
         assert np.exp(stop[0]) + direct[at].sum() + back[at].mean() == pytest.approx(1)
         assert np.ptp(back[at]) < 1e-12 and 0 < np.exp(stop[0]) < 1
-    empty = attention_lm.Lexicon([], np.zeros(0), sub)
+    empty = attention_lm.Lexicon.of_words([], np.zeros(0), sub)
     assert np.isfinite(empty.walk(ids, first)[2]).all() and (empty.walk(ids, first)[0] == 0).all()
 
 
+@pytest.mark.parametrize("most", [1 << 19, 6])
+def test_the_lexicon_of_a_table_is_that_of_its_words(spark, most):
+    """All nodes kept: as of the words at hand. Few kept: still a distribution at every node."""
+    with open(P.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        data = f.read()
+    sub = attention_lm.Subwords(data, attention_lm.PATTERN)
+    words = [("bleores", 5), ("bleore", 1), ("blewhorly", 2), ("thwhorly", 9), ("thattish", 1), ("thattishly", 3)]
+    sent = spark.sparkContext.broadcast((data, attention_lm.PATTERN))
+    got, tokens = attention_lm.learn_words(spark.createDataFrame(words, "word string, n long").repartition(3), sent, sub.size, most, most)
+    ids, first = sub.spell([w for w, _ in words])
+    assert (tokens == np.bincount(ids, np.repeat([n for _, n in words], np.diff(first)), sub.size)).all()
+    if most > 10:
+        whole = attention_lm.Lexicon.of_words([w for w, _ in words], [n for _, n in words], sub)
+        assert all(np.allclose(a, b) for a, b in zip(got.walk(ids, first), whole.walk(ids, first), strict=True))
+    inside = np.flatnonzero(~sub.starts)
+    for a, b in zip(first, first[1:], strict=False):
+        for stem in (ids[a : a + 1], ids[a : b - 1] if b - a > 2 else ids[a:b]):
+            stop = got.walk(stem, np.array([0, len(stem)]))[2]
+            more = np.concatenate([np.append(stem, i) for i in inside])
+            direct, back, _ = got.walk(more, np.arange(len(inside) + 1) * (len(stem) + 1))
+            at = np.arange(1, len(inside) + 1) * (len(stem) + 1) - 1
+            assert np.exp(stop[0]) + direct[at].sum() + back[at].mean() == pytest.approx(1)
+
+
+def test_scores_are_those_of_the_forward_pass():
+    """Window by window with ``forward``: the second hop of each window, each token once."""
+    _, m = small_model()
+    hop, ids = m.shape.hop, np.random.default_rng(5).integers(0, 99, 22)
+    n = -(-len(ids) // hop) * hop
+    seen = np.concatenate((np.zeros(hop), np.ones(n))).astype(np.float32)
+    inputs = np.concatenate((np.full(hop + 1, 99), ids, np.full(n, 99)))[: hop + n]
+    goal = np.concatenate((ids, np.full(n - len(ids), 99)))
+    total = 0.0
+    for s in range(0, n, hop):
+        z, _ = attention_lm.forward(m.shape, m.shape.unpack(m.flat), inputs[None, s : s + 2 * hop], seen[None, s : s + 2 * hop])
+        for i in range(min(hop, len(ids) - s)):
+            c = m.class_of[goal[s + i]]
+            of = (np.arange(m.shape.classes) >= m.shape.inside) == (c >= m.shape.inside)
+            total += z[0, i, c] - np.log(np.exp(z[0, i][of]).sum()) + m.share[goal[s + i]]
+    assert m.log_prob(ids, np.array([len(ids)]), 99)[0] == pytest.approx(total, abs=1e-3)
+
+
+def test_averages_in_a_tree(spark):
+    rng = np.random.default_rng(0)
+    flat, n = rng.normal(size=(50, 7)).astype("<f4"), rng.integers(1, 9, 50)
+    rows = spark.createDataFrame([(int(k), bytearray(f.tobytes())) for k, f in zip(n, flat, strict=True)], "n long, flat binary").repartition(5)
+    got = rows.mapInArrow(attention_lm._average, "n long, flat binary").coalesce(1).mapInArrow(attention_lm._average, "n long, flat binary").collect()
+    assert len(got) == 1 and got[0]["n"] == n.sum()
+    assert np.allclose(np.frombuffer(got[0]["flat"], "<f4"), (flat * n[:, None]).sum(0) / n.sum(), atol=1e-5)
+
+
 @pytest.mark.parametrize("top", [1 << 18, 3])
 def test_lm_base_scores_against_brute_force(docs, prose, top):
     import math
@@ -431,6 +482,7 @@ def test_lm_base_scores_against_brute_force(docs, prose, top):
         w = [*words(t), None]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held(r["doc_id"]), len(w), sum(c[x] > 0 for x in w), n)
         assert r["base_score"] == pytest.approx(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w)) and r["score"] < 0
+    assert attention_lm.score(docs([]), out, P.path("byte_bpe_50k.tiktoken"), bpe.PATTERN, top=top, rounds=1).count() == 0
 
 
 def test_the_model_learns(docs, spark):
