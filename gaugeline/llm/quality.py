@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fits, materialize, partitions, small_side
+from .common import fits, materialize, small_side
 from .wordstream import U, Words, blocks, covered, mix, rows_of
 
 SYMBOLS = b"#*$%&|<>"
@@ -157,7 +157,7 @@ class Cells:
     def moments(self, values, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(cells, width) counts, means and second moments of the vectors that ``values(cell numbers, statistics)``
         gives: for each of ``width`` kinds the vectors and a mask of the rows that count."""
-        number, spark = self.number, self.rows.sparkSession
+        number = self.number
 
         def packed(cell: np.ndarray, kind: np.ndarray, sums: np.ndarray):
             import pyarrow as pa
@@ -187,7 +187,7 @@ class Cells:
 
         kinds = "cell long, k long, sums array<double>"
         n, mean, second = np.zeros((len(self.names), width)), np.zeros((len(self.names), width, P)), np.zeros((len(self.names), width, P, P))
-        for r in self.rows.mapInArrow(partial, kinds).repartition(partitions(spark), "cell").mapInArrow(whole, kinds).collect():
+        for r in self.rows.mapInArrow(partial, kinds).repartition("cell").mapInArrow(whole, kinds).collect():
             c, k, sums = r["cell"], r["k"], np.array(r["sums"])
             n[c, k], mean[c, k] = sums[0], sums[1 : P + 1] / sums[0]
             second[c, k][_UPPER] = sums[P + 1 :] / sums[0]

@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_hot, materialize, partitions, small_side
+from .common import join_hot, materialize, small_side
 from .graph import components
 from .wordstream import LOWER, U, mix, rows_of
 
@@ -389,7 +389,7 @@ def link(nodes: DataFrame, keys, radius: int, carry: int = 1, tile: int = 4096)
 
 
 def _by_bucket(rows: DataFrame) -> DataFrame:
-    return rows.repartition(partitions(rows.sparkSession), "bucket").sortWithinPartitions("bucket", "node")
+    return rows.repartition("bucket").sortWithinPartitions("bucket", "node")
 
 
 def _dealt(nodes: DataFrame, keys, carry: int, tile: int) -> DataFrame:
