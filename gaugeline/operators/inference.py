@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as v
+from .ordered import running
 
 
 def estimates(values: DataFrame, times: int = 10_000, confidence: float = 0.95, seed: int = 0) -> DataFrame:
@@ -60,8 +61,7 @@ def unpaired(a: DataFrame, b: DataFrame, times: int = 10_000, confidence: float
 def average_rank(df: DataFrame, column: str, name: str) -> DataFrame:
     """Adds the average rank of ``column``, from counts of its distinct values."""
     by = df.groupBy(F.col(column).alias("__v")).agg(F.count("*").alias("__c"))
-    upto = F.sum("__c").over(Window.orderBy("__v"))
-    ranks = by.select("__v", (upto - (F.col("__c") - 1) / 2).alias(name))
+    ranks = running(by, [F.col("__v")], {"__upto": "__c"}).select("__v", (F.col("__upto") - (F.col("__c") - 1) / 2).alias(name))
     return df.join(ranks, F.col(column).eqNullSafe(F.col("__v"))).drop("__v")
 
 

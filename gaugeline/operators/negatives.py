@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import containment
+from .ordered import running
 from .ranking import rank
 
 
@@ -51,8 +52,8 @@ def auc(scores: DataFrame) -> DataFrame:
     Counts by distinct score and a running sum of them; ranks are never assigned to rows.
     """
     by = scores.groupBy("score").agg(F.count(F.when(F.col("positive"), 1)).alias("p"), F.count(F.when(~F.col("positive"), 1)).alias("q"))
-    below = F.sum("q").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1))
-    wins = by.select("p", "q", (F.col("p") * (F.coalesce(below, F.lit(0)) + F.col("q") / 2)).alias("w"))
+    upto = running(by, [F.col("score")], {"below": "q"})
+    wins = upto.select("p", "q", (F.col("p") * (F.col("below") - F.col("q") / 2)).alias("w"))
     return wins.agg(F.sum("w").alias("w"), F.sum("p").alias("p"), F.sum("q").alias("q")).select(F.when((F.col("p") > 0) & (F.col("q") > 0), F.col("w") / (F.col("p") * F.col("q"))).otherwise(0.5).alias("auc"))
 
 
@@ -60,9 +61,8 @@ def youden(scores: DataFrame) -> DataFrame:
     """One row (threshold, tpr, fpr) of (score, positive): greatest tpr - fpr, the least threshold on ties; an
     infinite threshold if a side is empty."""
     by = scores.groupBy("score").agg(F.count(F.when(F.col("positive"), 1)).alias("p"), F.count(F.when(~F.col("positive"), 1)).alias("q"))
-    down = Window.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rates = by.select("score", F.sum("p").over(down).alias("tp"), F.sum("q").over(down).alias("fp"), F.sum("p").over(whole).alias("np"), F.sum("q").over(whole).alias("nq")).filter("np > 0 and nq > 0").select("score", (F.col("tp") / F.col("np")).alias("tpr"), (F.col("fp") / F.col("nq")).alias("fpr"))
+    down = running(by, [F.col("score").desc()], {"tp": "p", "fp": "q"})
+    rates = down.filter("tp_all > 0 and fp_all > 0").select("score", (F.col("tp") / F.col("tp_all")).alias("tpr"), (F.col("fp") / F.col("fp_all")).alias("fpr"))
     best = rates.agg(F.max(F.struct(F.round(F.col("tpr") - F.col("fpr"), 12), -F.col("score"), "score", "tpr", "fpr")).alias("b"))
     return best.select(F.coalesce("b.score", F.lit(math.inf)).alias("threshold"), F.coalesce("b.tpr", F.lit(0.0)).alias("tpr"), F.coalesce("b.fpr", F.lit(0.0)).alias("fpr"))
 
@@ -82,5 +82,5 @@ def background_pairs(query_ids: list[str], relevant: dict[str, set[str]], doc_id
 def upper_median(values: DataFrame, column: str) -> DataFrame:
     """One row: element n // 2 of the sorted values, from counts of the distinct ones."""
     by = values.groupBy(column).agg(F.count("*").alias("n"))
-    upto = by.select(column, F.sum("n").over(Window.orderBy(column)).alias("upto"), F.sum("n").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("all"))
-    return upto.filter(F.col("upto") > F.floor(F.col("all") / 2)).agg(F.min(column).alias("median"))
+    upto = running(by, [F.col(column)], {"upto": "n"})
+    return upto.filter(F.col("upto") > F.floor(F.col("upto_all") / 2)).agg(F.min(column).alias("median"))

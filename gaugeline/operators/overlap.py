@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import containment
 from ..functions.vectors import char_jaccard, lcs_ratio
+from .ordered import running
 
 
 def pairs(queries: DataFrame, qrels: DataFrame, corpus: DataFrame, threshold: int = 1) -> DataFrame:
@@ -45,17 +46,9 @@ def summary(scores: DataFrame, column: str = "jaccard") -> DataFrame:
 
 
 def _numbered(scores: DataFrame, column: str) -> DataFrame:
-    """Adds ``place``, from 0 in order of (column, query_id), without sorting all rows in one task: range
-    partitions, their sizes, and a row number inside each."""
-    parts = scores.repartitionByRange(max(1, int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions"))), column, "query_id").withColumn("__p", F.spark_partition_id())
-    sizes = {r["__p"]: r["count"] for r in parts.groupBy("__p").count().collect()}  # a number for each partition
-    starts, at = [], 0
-    for p in range(max(sizes, default=0) + 1):
-        starts.append(at)
-        at += sizes.get(p, 0)
-    w = Window.partitionBy("__p").orderBy(column, "query_id")
-    out = parts.withColumn("place", F.row_number().over(w) - 1 + F.array(*map(F.lit, starts))[F.col("__p")])
-    return out.drop("__p").withColumn("__all", F.lit(at))
+    """Adds ``place``, from 0 in order of (column, query_id), and ``__all``, the count of rows."""
+    found = running(scores.withColumn("__one", F.lit(1).cast("long")), [F.col(column), F.col("query_id")], {"__n": "__one"})
+    return found.withColumn("place", F.col("__n") - 1).withColumnRenamed("__n_all", "__all").drop("__n", "__one")
 
 
 def deciles(scores: DataFrame, column: str = "jaccard", bins: int = 10) -> DataFrame:

@@ -50,13 +50,17 @@ def last_wins(df: DataFrame, keys: list[str], order: str = "__at") -> DataFrame:
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """(value, __at): lines and their place (file, then position)."""
-    return spark.read.text(path).withColumn("__at", F.struct(F.col("_metadata.file_path"), F.monotonically_increasing_id()))
+    place = F.struct(F.col("_metadata.file_path").alias("file_path"), F.monotonically_increasing_id().alias("line"))
+    return spark.read.text(path).withColumn("__at", place)
 
 
 def _documents(spark: SparkSession, path: str, fields: tuple[str, ...]) -> DataFrame:
+    """Rows of a JSON-lines file; a line that isn't an object with an ``_id`` is an error that shows the line."""
     parsed = F.from_json("value", "_id string, " + ", ".join(f"{f} string" for f in fields))
-    rows = _lines(spark, path).filter(F.trim("value") != "").select(parsed.alias("j"), "__at")
-    return rows.select(F.col("j._id").alias("id"), *(F.coalesce(f"j.{f}", F.lit("")).alias(f) for f in fields), "__at").filter("id is not null")
+    rows = _lines(spark, path).filter(F.trim("value") != "").select(parsed.alias("j"), "__at", "value")
+    broken = F.raise_error(F.concat(F.lit(f"{path}: not a JSON object with an _id: "), F.substring("value", 1, 200))).cast("string")
+    checked = F.when(F.col("j._id").isNotNull(), F.col("j._id")).otherwise(broken)
+    return rows.select(checked.alias("id"), *(F.coalesce(f"j.{f}", F.lit("")).alias(f) for f in fields), "__at")
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
@@ -70,9 +74,14 @@ def read_queries(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_qrels(spark: SparkSession, path: str) -> DataFrame:
-    """(query_id, doc_id, grade); a first line that begins with ``query-id`` is a header; lines of fewer than
-    three fields are passed over; grades are cut to whole numbers."""
-    rows = _lines(spark, path).filter(~F.col("value").startswith("query-id")).withColumn("f", F.split("value", "\t")).filter(F.size("f") >= 3)
+    """(query_id, doc_id, grade); the first line of a file is a header if it begins with ``query-id``, in any case;
+    lines of fewer than three fields are passed over; grades are cut to whole numbers."""
+    lines = _lines(spark, path)
+    heads = lines.filter(F.lower("value").startswith("query-id")).select("value", "__at", F.col("__at").getField("file_path").alias("file"))
+    heads = heads.groupBy("file").agg(F.min("__at").alias("head"))  # a row a file
+    firsts = lines.groupBy(F.col("__at").getField("file_path").alias("file")).agg(F.min("__at").alias("head")).join(heads, ["file", "head"])
+    lines = lines.join(F.broadcast(firsts.select(F.col("head").alias("__head"))), F.col("__at") == F.col("__head"), "left_anti")
+    rows = lines.withColumn("f", F.split("value", "\t")).filter(F.size("f") >= 3)
     typed = rows.select(F.col("f")[0].alias("query_id"), F.col("f")[1].alias("doc_id"), F.col("f")[2].cast("double").cast("int").alias("grade"), "__at")
     return last_wins(typed, ["query_id", "doc_id"])
 
