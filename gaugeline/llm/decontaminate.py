@@ -108,11 +108,12 @@ def clean(docs: DataFrame, benchmark: DataFrame, width: int = 13, most_windows:
     """``docs`` without the hit words, and without the documents that are contaminated.
 
     A document with hits below the threshold keeps its text but for the bytes from the first to the last word
-    of each occurrence. Every column stays; only ``text`` changes.
+    of each occurrence. Every column stays; ``text`` changes, and ``n_chars`` with it where there is one.
     """
     known = docs.sparkSession.sparkContext.broadcast(_benchmark(benchmark, width, most_windows))
     schema = docs.schema
     where = docs.columns.index("text")
+    size = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def scan(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -132,6 +133,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, width: int = 13, most_windows:
             if any(t is not None for t in texts):
                 old = kept.column(where).to_pylist()
                 kept = kept.set_column(where, kept.schema.field(where), pa.array([o if t is None else t for o, t in zip(old, texts, strict=True)], kept.schema.field(where).type))
+                if size is not None:
+                    before = kept.column(size).to_pylist()
+                    kept = kept.set_column(size, kept.schema.field(size), pa.array([o if t is None else len(t) for o, t in zip(before, texts, strict=True)], pa.int64()).cast(kept.schema.field(size).type))
             yield kept
 
     return docs.mapInArrow(scan, schema)

@@ -30,13 +30,14 @@ def _letters() -> np.ndarray:
 
 
 def grams(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams of a text, packed 21 bits a character (a gap is 0), and their counts."""
+    """Distinct n-grams of a text, packed 21 bits a character (a gap is 1), and their counts."""
     code = np.frombuffer(text.decode("utf-8", "replace").lower().encode("utf-32-le", "replace"), np.uint32)
     code = np.where(_letters()[code] > 0, code, 0) if len(code) else code
     code = np.concatenate(([0], code, [0])).astype(U)
     code = code[np.concatenate(([True], (code[1:] != 0) | (code[:-1] != 0)))]
-    one, two = code, code[:-1] << U(21) | code[1:]
-    three = (two[:-1] << U(21)) | code[2:]
+    packed = np.where(code == 0, U(1), code)  # so that a gap in front makes another n-gram
+    one, two = code, packed[:-1] << U(21) | packed[1:]
+    three = (two[:-1] << U(21)) | packed[2:]
     inner = code[1:-1] != 0  # a gap in the middle says nothing
     every = np.concatenate((one[one != 0], two, three[inner]))
     if not (code != 0).any():

@@ -309,6 +309,28 @@ def test_language(docs):
     assert {r["lang_pred"] for r in langid.identify(docs(ODD, None), out).collect()} == {"und"}
 
 
+def test_distance_against_brute_force():
+    """Out-of-place distances by plain counting of strings."""
+
+    def ranked(text, size):
+        t = " " + re.sub(r"[^a-zé]+", " ", text.lower()).strip() + " "
+        n = Counter(t[p : p + k] for k in (1, 2, 3) for p in range(len(t) - k + 1) if t[p : p + k] != " " and t[p : p + k][1:-1] != " ")
+        code = lambda g: sum((1 if c == " " else ord(c)) << 21 * (len(g) - 1 - i) for i, c in enumerate(g))
+        return sorted(map(code, n), key=lambda g: (-n[next(x for x in n if code(x) == g)], g))[:size]
+
+    teach = {"a": "the cat sat on the mat and the hat", "b": "der hund und die katze, élan"}
+    size = 30
+    known = langid.Profiles([(lang, np.array(g, np.uint64).view(np.int64).item(), p) for lang, t in teach.items() for p, g in enumerate(ranked(t, size))], size)
+    for text in ("the hat on the cat", "die katze und der élan", "zzz qq", "Hund! the"):
+        own, best = ranked(text, size), {}
+        for lang, t in teach.items():
+            place = {g: p for p, g in enumerate(ranked(t, size))}
+            best[lang] = sum(min(abs(place[g] - p), size) if g in place else size for p, g in enumerate(own))
+        lang = min(best, key=lambda x: (best[x], x))
+        got, score = known.predict(text.encode())
+        assert (got, score) == (lang, pytest.approx(1 - best[lang] / (size * len(own))))
+
+
 def test_profile_is_by_rank():
     got = langid.profile(b"aab aab", 5)
     g, n = langid.grams(b"aab aab")
@@ -555,6 +577,7 @@ def test_decontamination_against_brute_force(spark, docs, prose):
         assert tuple(r)[1:] == (len(w), len(hit), len(found), sha(",".join(found)), bool(hit) and 20 * len(hit) >= len(w))
     assert seen
     kept = {r["doc_id"]: r["text"] for r in decontaminate.clean(docs(pairs), bench).collect()}
+    assert all(r["n_chars"] == len(r["text"]) for r in decontaminate.clean(docs(pairs), bench).filter("text is not null").collect())
     assert 200 not in kept and kept[201] == prose(200) + " " and kept[3] == " \t\n\r "
     assert decontaminate.report(docs(pairs), bench.limit(0)).filter("n_hit > 0").count() == 0
 
