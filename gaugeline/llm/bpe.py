@@ -24,6 +24,7 @@ import base64
 import hashlib
 import json
 import re
+from array import array
 from collections import OrderedDict
 from collections.abc import Iterator
 
@@ -31,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .wordstream import U, rows_of
+from .wordstream import U, giving_back, rows_of
 
 MOST_BYTES = 64 << 20
 _SPECIAL = re.compile("<\\|")
@@ -101,17 +102,17 @@ class Encoder:
 
     def __init__(self, codec: Codec, bits: int = 8, store: int = 48 << 20):
         self.codec, self.bits, self.store = codec, bits, store
-        self.kept: OrderedDict[bytes, list[int]] = OrderedDict()
+        self.kept: OrderedDict[bytes, array] = OrderedDict()  # four bytes a token; a list of ints would take nine times that
         self.held = self.encoded = self.reused = self.repaired = 0
 
-    def chunk(self, text: bytes) -> list[int]:
+    def chunk(self, text: bytes) -> array:
         key = hashlib.blake2b(text, digest_size=16).digest()
         ids = self.kept.get(key)
         if ids is not None:
             self.kept.move_to_end(key)
             self.reused += 1
             return ids
-        ids = self.codec.encode(text.decode())
+        ids = array("i", self.codec.encode(text.decode()))
         self.encoded += 1
         self.kept[key] = ids
         self.held += 200 + 8 * len(ids)
@@ -127,7 +128,7 @@ class Encoder:
             out = self._join(text, out, ids, a, b) if a else list(ids)
         return out
 
-    def _join(self, text: bytes, left: list[int], right: list[int], at: int, end: int) -> list[int]:
+    def _join(self, text: bytes, left: list[int], right: array, at: int, end: int) -> list[int]:
         """``left`` encodes text[:at], ``right`` text[at:end]; the proven tokens of text[:end]."""
         pieces = self.codec.pieces
         a, b = at, at
@@ -146,7 +147,7 @@ class Encoder:
                 if a > 0 or b < end:
                     continue
             again = self.codec.encode(text[a:b].decode())
-            if again == left[i:] + right[:j]:
+            if again == left[i:] + right[:j].tolist():
                 left.extend(right)
                 return left
             self.repaired += 1
@@ -212,4 +213,4 @@ def encode_decode(docs: DataFrame, definition: str, ranks: str | None = None, wi
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, kinds)
+    return rows.mapInArrow(giving_back(run), kinds)

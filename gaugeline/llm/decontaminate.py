@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .wordstream import ALNUM, Words, blocks, covered, rows_of
+from .wordstream import ALNUM, BLOCK, Words, blocks, covered, giving_back, rows_of
 
 
 @dataclass
@@ -90,7 +90,7 @@ def report(docs: DataFrame, benchmark: DataFrame, width: int = 13, most_windows:
         import pyarrow as pa
 
         for batch in batches:
-            for rows in blocks(rows_of(batch, "doc_id")):
+            for rows in blocks(rows_of(batch, "doc_id"), BLOCK):
                 w, hit, items = hits([t for _, t in rows], known.value)
                 total = np.concatenate(([0], np.cumsum(hit)))
                 n_hit = total[w.first[1:]] - total[w.first[:-1]]
@@ -119,26 +119,35 @@ def clean(docs: DataFrame, benchmark: DataFrame, width: int = 13, most_windows:
         import pyarrow as pa
 
         for batch in batches:
-            keep, texts = [], []
-            for rows in blocks(enumerate(t for (t,) in rows_of(batch))):
-                w, hit, _ = hits([t for _, t in rows], known.value)
-                for j, (i, text) in enumerate(rows):
-                    a, b = w.first[j], w.first[j + 1]
-                    n_hit = int(hit[a:b].sum())
-                    if n_hit and 20 * n_hit >= b - a:
-                        continue
-                    keep.append(i)
-                    texts.append(_without(text, w, hit, a, b) if n_hit else None)
-            kept = batch.take(pa.array(keep, pa.int64()))
-            if any(t is not None for t in texts):
-                old = kept.column(where).to_pylist()
-                kept = kept.set_column(where, kept.schema.field(where), pa.array([o if t is None else t for o, t in zip(old, texts, strict=True)], kept.schema.field(where).type))
-                if size is not None:
-                    before = kept.column(size).to_pylist()
-                    kept = kept.set_column(size, kept.schema.field(size), pa.array([o if t is None else len(t) for o, t in zip(before, texts, strict=True)], pa.int64()).cast(kept.schema.field(size).type))
-            yield kept
-
-    return docs.mapInArrow(scan, schema)
+            at = 0
+            for rows in blocks(rows_of(batch), BLOCK):
+                yield cleaned(batch.slice(at, len(rows)), [t for (t,) in rows])
+                at += len(rows)
+
+    def cleaned(part, texts: list[bytes]):
+        import pyarrow as pa
+
+        w, hit, _ = hits(texts, known.value)
+        keep, cut = [], {}
+        for i, text in enumerate(texts):
+            a, b = w.first[i], w.first[i + 1]
+            n_hit = int(hit[a:b].sum())
+            if n_hit and 20 * n_hit >= b - a:
+                continue
+            if n_hit:
+                cut[len(keep)] = _without(text, w, hit, a, b)
+            keep.append(i)
+        kept = part.take(pa.array(keep, pa.int64()))
+        if cut:
+            for c, of in [(where, str)] + [(size, len)] * (size is not None):
+                values = kept.column(c).to_pylist()
+                for i, text in cut.items():
+                    values[i] = of(text)
+                field = kept.schema.field(c)
+                kept = kept.set_column(c, field, pa.array(values, pa.string() if of is str else pa.int64()).cast(field.type))
+        return kept
+
+    return docs.mapInArrow(giving_back(scan), schema)
 
 
 def _without(text: bytes, w: Words, hit: np.ndarray, a: int, b: int) -> str:

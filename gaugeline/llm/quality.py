@@ -29,12 +29,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fits, materialize, small_side
-from .wordstream import U, Words, blocks, covered, mix, rows_of
+from .wordstream import BLOCK, U, Words, blocks, covered, giving_back, mix, rows_of
 
 SYMBOLS = b"#*$%&|<>"
 #: Statistic -> least standard deviation it is given, so that a constant statistic doesn't make a cell singular.
 FEATURES = {"log_words": 0.5, "word_length": 0.35, "symbols": 0.04, "punctuation": 0.06, "capitals": 0.06, "digits": 0.06, "dup_lines": 0.25, "repeats": 0.15}
 BINS_PER_OCTAVE = 32
+#: Rows whose distances are taken at once.
+ROWS = 2048
 
 _COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
@@ -84,7 +86,7 @@ def _measured(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
     for batch in batches:
-        for rows in blocks(rows_of(batch, "doc_id", "lang", "source")):
+        for rows in blocks(rows_of(batch, "doc_id", "lang", "source"), BLOCK):
             ids, langs, sources, texts = map(list, zip(*rows, strict=True))
             counts, stats = measure(texts)
             yield pa.RecordBatch.from_arrays(
@@ -99,7 +101,7 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 def statistics(docs: DataFrame) -> DataFrame:
     """Counts, statistics and the base verdict of every document."""
-    out = _rows(docs).mapInArrow(_measured, f"doc_id long, lang string, source string, {_COUNTS}, " + ", ".join(f"{f} double" for f in FEATURES))
+    out = _rows(docs).mapInArrow(giving_back(_measured), f"doc_id long, lang string, source string, {_COUNTS}, " + ", ".join(f"{f} double" for f in FEATURES))
     return out.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
 
 
@@ -209,8 +211,12 @@ class Models:
         return cls(mean, np.linalg.inv(cov), np.linalg.slogdet(cov)[1])
 
     def distances(self, cell: np.ndarray, x: np.ndarray) -> np.ndarray:
-        off = x[:, None, :] - self.mean[cell]
-        return np.einsum("nki,nkij,nkj->nk", off, self.inverse[cell], off, optimize=True)
+        out = np.empty((len(x), self.mean.shape[1]))
+        for s in range(0, len(x), ROWS):
+            c = cell[s : s + ROWS]
+            off = x[s : s + ROWS, None, :] - self.mean[c]
+            out[s : s + ROWS] = np.einsum("nki,nkij,nkj->nk", off, self.inverse[c], off, optimize=True)
+        return out
 
     def best(self) -> Models:
         at = np.arange(len(self.mean)), self.logdet.argmin(1)
@@ -365,8 +371,8 @@ def keep_good(docs: DataFrame, h: float = 0.75, tail: float = 1e-4, slack: float
         import pyarrow as pa
 
         for batch in batches:
-            keep = []
-            for part in blocks(rows_of(batch, *extra, text=text)):
+            at, keep = 0, []
+            for part in blocks(rows_of(batch, *extra, text=text), BLOCK):
                 counts, stats = measure([r[-1] for r in part])
                 for (lang, source, *joined, _), (n, *_, again), x in zip(part, counts.tolist(), stats, strict=True):
                     model = known.value.get((lang, source)) if known is not None else joined[0] and (np.array(joined[0]["mean"]), np.array(joined[0]["inverse"]).reshape(len(x), -1), joined[0]["scale"])
@@ -375,6 +381,7 @@ def keep_good(docs: DataFrame, h: float = 0.75, tail: float = 1e-4, slack: float
                         off = x - model[0]
                         good = off @ model[1] @ off <= cut * model[2]
                     keep.append(bool(good))
-            yield batch.select(schema.names).filter(pa.array(keep, pa.bool_()))
+                yield batch.slice(at, len(part)).select(schema.names).filter(pa.array(keep, pa.bool_()))
+                at, keep = at + len(part), []
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(giving_back(run), schema)

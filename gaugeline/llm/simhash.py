@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import join_hot, materialize, small_side
 from .graph import components
-from .wordstream import LOWER, U, mix, rows_of
+from .wordstream import LOWER, U, giving_back, mix, rows_of
 
 _BYTE = 8
 
@@ -84,7 +84,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _lists(np.array(out, U).reshape(len(ids), 1))], names=["doc_id", "f"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, f array<long>")
+    return rows.mapInArrow(giving_back(run), "doc_id long, f array<long>")
 
 
 def _lists(f: np.ndarray):
@@ -111,7 +111,7 @@ def wide_prints(docs: DataFrame, shingle: int, words: int) -> DataFrame:
                 out.append(majority(h, words))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(owns, pa.int64()), pa.array(digests, pa.binary()), _lists(np.array(out, U).reshape(len(ids), words))], names=["doc_id", "own", "digest", "f"])
 
-    return docs.mapInArrow(run, "doc_id long, own long, digest binary, f array<long>")
+    return docs.mapInArrow(giving_back(run), "doc_id long, own long, digest binary, f array<long>")
 
 
 def exact_keys(f: np.ndarray, radius: int) -> list[np.ndarray]:
@@ -476,7 +476,7 @@ def exact_pairs(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     a shingle of a single group joins nothing."""
     t = similarity
     up = lambda c: F.ceil(c - F.lit(1e-9))
-    rows = materialize(texts.select("node", "known", "text").mapInArrow(_tokens(shingle), "node long, known long, n int, s long"), "wide-shingles")
+    rows = materialize(texts.select("node", "known", "text").mapInArrow(giving_back(_tokens(shingle)), "node long, known long, n int, s long"), "wide-shingles")
     seen = rows.groupBy("s").agg(F.count("*").alias("df"), F.min("known").alias("low"), F.max("known").alias("high"))
     place = F.row_number().over(Window.partitionBy("node").orderBy("df", "s")) - 1
     first = rows.join(seen, "s").withColumn("p", place).filter(F.col("p") <= F.col("n") - up(F.col("n") * t)).filter("low <> high")
@@ -492,9 +492,9 @@ def exact_pairs(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
 def _proven(pairs: DataFrame, texts, shingle: int, similarity: float) -> DataFrame:
     """Those of ``pairs`` (u, v) whose whole shingle sets are alike enough. ``texts(nodes)``: (node, text) of nodes."""
     ends = materialize(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct(), "wide-ends")
-    sets = materialize(texts(ends).select("node", "text").mapInArrow(_shingle_sets(shingle), "node long, set binary"), "wide-sets")
+    sets = materialize(texts(ends).select("node", "text").mapInArrow(giving_back(_shingle_sets(shingle)), "node long, set binary"), "wide-sets")
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("b")), "v")
-    return materialize(both.select("u", "v", "a", "b").mapInArrow(_verify(similarity), "u long, v long"), "wide-proven")
+    return materialize(both.select("u", "v", "a", "b").mapInArrow(giving_back(_verify(similarity)), "u long, v long"), "wide-proven")
 
 
 def proven_links(texts, nodes: DataFrame, keys, radius: int, carry: int, tile: int, shingle: int, similarity: float) -> DataFrame:

@@ -13,6 +13,8 @@ import numpy as np
 
 U = np.uint64
 _BASE, _STEP = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1
+#: Bytes of texts that most scans take at once: the temporary arrays are a hundred times that.
+BLOCK = 1 << 18
 _grown: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 #: Byte -> 1 in a word. Separators are space and 0x09-0x0D.
@@ -116,11 +118,39 @@ def blocks(rows: Iterable[tuple], size: int = 1 << 20) -> Iterator[list[tuple]]:
         yield held
 
 
-def rows_of(batch, *names: str, text: str = "text") -> Iterator[tuple]:
-    """Tuples of the named columns of an Arrow batch, the text last, as UTF-8 bytes (null: empty)."""
+def rows_of(batch, *names: str, text: str = "text", step: int = 512) -> Iterator[tuple]:
+    """Tuples of the named columns of an Arrow batch, the text last, as UTF-8 bytes (null: empty). ``step`` rows at a
+    time become Python objects, so that the batch isn't held twice."""
     import pyarrow as pa
 
-    cols = [batch.column(n).to_pylist() for n in names]
-    body = batch.column(text).cast(pa.binary()).to_pylist()
-    for *row, t in zip(*cols, body, strict=True):
-        yield (*row, t or b"")
+    for at in range(0, batch.num_rows, step):
+        part = batch.slice(at, step)
+        cols = [part.column(n).to_pylist() for n in names]
+        body = part.column(text).cast(pa.binary()).to_pylist()
+        for *row, t in zip(*cols, body, strict=True):
+            yield (*row, t or b"")
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: a Python worker lives on after its task, and what its allocators keep would
+    be added to what the next operator needs."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+    if trim is not None:
+        trim(0)
+
+
+def giving_back(run):
+    """An Arrow function that calls ``give_back`` when its task ends."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        give_back()
+
+    return wrapped
