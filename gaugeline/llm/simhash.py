@@ -468,24 +468,38 @@ def _tokens(shingle: int):
     return run
 
 
+#: Words of 64 parities that a text carries to the join of rare shingles.
+_PARITY = 16
+_CARRIED = ("node", "known", "n", "p", "bits")
+
+
 def exact_pairs(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """(u, v) that hold all pairs of ``texts`` (node, known, text) at ``similarity`` or more of different ``known``
     groups: a join by the rarest shingles. Two such sets share one of the first shingles in order of rarity, of the
     larger set one of its first n - ceil(t n) + 1, of the smaller one of its first n - ceil(2t n / (1 + t)) + 1, and at
     places that leave enough shingles for the overlap. What many texts share, a template, stands last in that order, and
-    a shingle of a single group joins nothing."""
+    a shingle of a single group joins nothing.
+
+    Texts that share rare shingles and are not alike never leave the join: each carries ``64 * _PARITY`` parities of its
+    shingles by hash, and two sets differ in at least as many shingles as their parities do in bits. That bound is
+    sharp up to some thousand shingles and lets longer texts through, to be verified."""
     t = similarity
     up = lambda c: F.ceil(c - F.lit(1e-9))
     rows = materialize(texts.select("node", "known", "text").mapInArrow(giving_back(_tokens(shingle)), "node long, known long, n int, s long"), "wide-shingles")
     seen = rows.groupBy("s").agg(F.count("*").alias("df"), F.min("known").alias("low"), F.max("known").alias("high"))
     place = F.row_number().over(Window.partitionBy("node").orderBy("df", "s")) - 1
     first = rows.join(seen, "s").withColumn("p", place).filter(F.col("p") <= F.col("n") - up(F.col("n") * t)).filter("low <> high")
-    first = materialize(first.select("s", "node", "known", "n", "p"), "wide-first")
-    a = first.select("s", *(F.col(c).alias(f"{c}_a") for c in ("node", "known", "n", "p")))
-    b = first.filter(F.col("p") <= F.col("n") - up(F.col("n") * (2 * t / (1 + t)))).select("s", *(F.col(c).alias(f"{c}_b") for c in ("node", "known", "n", "p")))
+    bit = F.expr("shiftleft(1L, cast(pmod(shiftrightunsigned(s, 8), 64) as int))")
+    words = F.array(*(F.bit_xor(F.when(F.pmod("s", F.lit(_PARITY)) == w, bit).otherwise(F.lit(0).cast("long"))) for w in range(_PARITY)))
+    first = materialize(first.join(rows.groupBy("node").agg(words.alias("bits")), "node").select("s", *_CARRIED), "wide-first")
+    a = first.select("s", *(F.col(c).alias(f"{c}_a") for c in _CARRIED))
+    b = first.filter(F.col("p") <= F.col("n") - up(F.col("n") * (2 * t / (1 + t)))).select("s", *(F.col(c).alias(f"{c}_b") for c in _CARRIED))
     order = (F.col("n_b") < F.col("n_a")) | ((F.col("n_b") == F.col("n_a")) & (F.col("node_b") < F.col("node_a")))
-    room = F.least(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b")) >= up((F.col("n_a") + F.col("n_b")) * (t / (1 + t)))
-    met = a.join(b, "s").filter(order & (F.col("known_a") != F.col("known_b")) & (F.col("n_b") >= up(F.col("n_a") * t)) & room)
+    overlap = up((F.col("n_a") + F.col("n_b")) * (t / (1 + t)))
+    room = F.least(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b")) >= overlap
+    differ = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda d, x: d + x)
+    alike = F.col("n_a") + F.col("n_b") - differ >= 2 * overlap
+    met = a.join(b, "s").filter(order & (F.col("known_a") != F.col("known_b")) & (F.col("n_b") >= up(F.col("n_a") * t)) & room & alike)
     return met.select(F.greatest("node_a", "node_b").alias("u"), F.least("node_a", "node_b").alias("v")).distinct()
 
 

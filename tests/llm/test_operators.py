@@ -237,6 +237,22 @@ def test_near_dedup_of_templated_texts(docs, prose):
     assert {r["doc_id"] for r in simhash.drop_near_duplicates(docs(data)).select("doc_id").collect()} == set(range(150))
 
 
+def test_exact_pairs_finds_all_and_sends_on_few(spark, prose):
+    """Parts of one text that share its rarest shingles, few of them alike: every pair at 0.8 leaves the join, and few others."""
+    words, rng = prose(400, 7, 5000).split(), np.random.default_rng(2)
+    data = []
+    for i in range(60):
+        a = int(rng.integers(0, 200))
+        data.append((i, " ".join(words[a : a + 100 + int(rng.integers(0, 100))])))
+    sets = {i: set(simhash.shingle_hashes(t.encode(), 5).tolist()) for i, t in data}
+    share = {(b, a): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
+    alike = {p for p, j in share.items() if j >= 0.8}
+    rows = spark.createDataFrame([(i, i, t) for i, t in data], "node long, known long, text string")
+    got = {(r["u"], r["v"]) for r in simhash.exact_pairs(rows, 5, 0.8).collect()}
+    assert alike and alike <= got and len(got) <= 1.2 * sum(j >= 0.75 for j in share.values())
+    assert simhash.exact_pairs(rows.limit(0), 5, 0.8).count() == 0
+
+
 def test_near_dedup_on_a_table_against_brute_force(spark):
     rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     data = [(r["doc_id"], r["text"]) for r in rows.collect()]
