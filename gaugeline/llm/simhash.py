@@ -481,8 +481,8 @@ def exact_pairs(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     a shingle of a single group joins nothing.
 
     Texts that share rare shingles and are not alike never leave the join: each carries ``64 * _PARITY`` parities of its
-    shingles by hash, and two sets differ in at least as many shingles as their parities do in bits. That bound is
-    sharp up to some thousand shingles and lets longer texts through, to be verified."""
+    shingles by hash, and two sets differ in at least as many shingles as their parities do in bits. That bound
+    weakens as sets outgrow the parities; pairs that it then lets through are verified like all others."""
     t = similarity
     up = lambda c: F.ceil(c - F.lit(1e-9))
     rows = materialize(texts.select("node", "known", "text").mapInArrow(giving_back(_tokens(shingle)), "node long, known long, n int, s long"), "wide-shingles")
