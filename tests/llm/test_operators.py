@@ -409,6 +409,68 @@ def test_gradient_against_differences():
         assert (loss(flat + step) - loss(flat - step)) / 2e-2 == pytest.approx(g[k], abs=3e-3)
 
 
+def test_gradient_of_hops_is_that_of_their_windows():
+    shape = attention_lm.Shape(classes=9, dim=4, buckets=11, hop=4)
+    rng = np.random.default_rng(0)
+    inputs, goal, fresh = rng.integers(0, 50, (7, 4)), rng.integers(0, 9, (7, 4)), np.isin(np.arange(7), (0, 1, 4))
+    counted = (rng.random((7, 4)) < 0.8).astype(np.float32)
+    p = shape.unpack(shape.start() * 2)
+    windows = np.concatenate((np.concatenate((inputs[:1], inputs[:-1])), inputs), 1)
+    seen = np.repeat(np.stack((~fresh, np.ones(7, bool)), 1), 4, 1).astype(np.float32)
+    loss, g = attention_lm.gradient(shape, p, windows, seen, goal, counted)
+    got, own = attention_lm.hop_gradient(shape, p, inputs, fresh, goal, counted)
+    assert got == pytest.approx(loss, abs=1e-5) and np.allclose(own, g, atol=1e-5) and np.abs(g).max() > 0.05
+
+
+@pytest.mark.parametrize("most", [400_000, 5])
+def test_all_training_text_is_learned_from(docs, spark, prose, most):
+    """Each subword and each end of each text is a target once, in the window that scoring sees it in."""
+    with open(P.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        data = f.read()
+    sub, shape = attention_lm.Subwords(data, attention_lm.PATTERN), attention_lm.Shape(hop=4)
+    pairs = [(i, prose(n, i)) for i, n in ((20, 1), (21, 37), (22, 3000), (23, 2500))] + [(24, prose(2500, 23))] + ODD
+    hop, want, words, ids_of_all = shape.hop, Counter(), Counter(), Counter()
+    for _, t in pairs:
+        w = SPACED.findall((t or "").translate(LOWER))
+        words.update(w)
+        ids = [*sub.spell(w)[0].tolist(), sub.end]
+        ids_of_all.update(ids)
+        full = [sub.end, *ids]
+        for k in range(len(ids)):
+            want[(*full[max(0, k // hop - 1) * hop : k + 1], ids[k])] += 1
+    sent = spark.sparkContext.broadcast((data, attention_lm.PATTERN))
+    gathered = docs(pairs).select("doc_id", "text").mapInArrow(attention_lm._gather(sent, hop, 3, 100, most), "kind int, word string, n long, ids binary").cache()
+    rows = gathered.collect()
+    counts = Counter()
+    for r in rows:
+        if r["kind"] == attention_lm.WORD:
+            counts[r["word"]] += r["n"]
+    assert counts == words and sum(r["n"] for r in rows if r["kind"] == attention_lm.TEXTS) == len(pairs)
+    cuts = [r for r in rows if r["ids"] is not None]
+    ids = [np.frombuffer(r["ids"], sub.kind) for r in cuts]
+    inputs, fresh, goal, counted = attention_lm.lay(shape, np.concatenate(ids), np.array([len(i) for i in ids]), np.array([r["kind"] == attention_lm.GOES_ON for r in cuts]), sub.end)
+    got = Counter()
+    for h, i in np.argwhere(counted > 0):
+        before = [] if fresh[h] else inputs[h - 1].tolist()
+        got[(*before, *inputs[h, : i + 1].tolist(), int(goal[h, i]))] += 1
+    assert got == want
+    # and so is what stands beside what, in runs of four hops of targets
+    size = sub.size
+    tokens = np.array([ids_of_all[i] for i in range(size)])
+    near = attention_lm.beside(gathered.filter("ids is not null"), tokens, sub.starts, sub.kind, hop, 3)
+    chosen = np.flatnonzero(sub.starts)
+    chosen = chosen[np.argsort(-tokens[chosen], kind="stable")][:3]
+    brute = np.zeros((size, 3))
+    for _, t in pairs:
+        ids = np.append(sub.spell(SPACED.findall((t or "").translate(LOWER)))[0], sub.end)
+        for a in range(0, len(ids), 3 * hop):  # a stretch of three hops is shorter than four
+            part = ids[a : a + 3 * hop]
+            part = part[sub.starts[part]]
+            for x in part:
+                brute[x] += [(part == c).sum() - (x == c) for c in chosen]
+    assert (near == brute).all()
+
+
 def small_model(near=None):
     shape = attention_lm.Shape(hop=4, dim=4, buckets=64, classes=16)
     starts = np.arange(100) % 3 == 0
