@@ -471,6 +471,45 @@ def test_all_training_text_is_learned_from(docs, spark, prose, most):
     assert (near == brute).all()
 
 
+def test_words_are_numbered_a_block_at_a_time(prose):
+    """Blocks of texts in arrays give the numbers that a dict gives word by word: odd bytes, all lengths, growth."""
+    import pyarrow as pa
+
+    odd = [b"", b" \t\n", b"a\x00 a a\x00\x00 \x00", "é\u00a0x É \u2028".encode(), b"x\xff\xfe y", b"A a" + b"z" * 40, *(b"q" * k + b" " + b"q" * k + b"\x00" for k in range(14, 19))]
+    blocks = [odd, [prose(3000, 1).encode(), b""], odd[::-1], [prose(9000, 2).encode().upper()], [b"", b"\n"]]
+    numbers, known = {}, attention_lm.Vocabulary()
+    for texts in blocks:
+        words = [t.translate(wordstream.LOWER).split() for t in texts]
+        spread = attention_lm.Spread(texts)
+        assert spread.n.tolist() == [len(w) for w in words] and [spread.word(i) for i in range(len(spread.size))] == sum(words, [])
+        assert spread.names(np.arange(len(spread.size))).to_pylist() == sum(words, [])
+        got = known.find(spread)
+        assert got.tolist() == [numbers.get(w, -1) for w in sum(words, [])]
+        new = [w for w in dict.fromkeys(sum(words, [])) if w not in numbers]
+        known.put(spread.pick(np.array([sum(words, []).index(w) for w in new], np.int64)))
+        numbers.update({w: len(numbers) + i for i, w in enumerate(new)})
+        assert known.find(spread).tolist() == [numbers[w] for w in sum(words, [])] and known.n == len(numbers)
+    with open(P.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        data = f.read()
+    sub = attention_lm.subwords(data, attention_lm.PATTERN)
+    assert sub is attention_lm.subwords(data, attention_lm.PATTERN)  # not parsed again by a worker's next task
+    for names in (list(numbers), [b"a", b"b\xc2\xa0", b"c"], []):
+        got, want = sub.spell_names(pa.array(names, pa.large_binary())), sub.spell([w.decode("utf-8", "replace") for w in names])
+        assert all((a == b).all() for a, b in zip(got, want, strict=True))
+
+
+def test_frequent_words_do_not_overflow_their_counts(docs, spark):
+    """One word all over a block of texts: more than 65,535 neighbours in one sum."""
+    with open(P.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        data = f.read()
+    sub, sent = attention_lm.Subwords(data, attention_lm.PATTERN), spark.sparkContext.broadcast((data, attention_lm.PATTERN))
+    (a, b), n = sub.spell(["the", "and"])[0].tolist(), 64 * 1100
+    rows = docs([(1, "the " * (n - 64) + "and " * 63)]).select("doc_id", "text").coalesce(1).mapInArrow(attention_lm._gather(sent, 16), "kind int, word string, n long, ids binary")
+    tokens = np.bincount([a] * 3 + [b] * 2 + [sub.end], minlength=sub.size)
+    near = attention_lm.beside(rows.filter("ids is not null"), tokens, sub.starts, sub.kind, 16, 2)
+    assert near[a].tolist() == [(n - 64) * 63, 0] and near[b].tolist() == [0, 63 * 62] and near[sub.end].tolist() == [0, 63]
+
+
 def small_model(near=None):
     shape = attention_lm.Shape(hop=4, dim=4, buckets=64, classes=16)
     starts = np.arange(100) % 3 == 0
