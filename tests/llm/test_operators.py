@@ -577,6 +577,35 @@ def test_the_lexicon_of_a_table_is_that_of_its_words(spark, most):
             assert np.exp(stop[0]) + direct[at].sum() + back[at].mean() == pytest.approx(1)
 
 
+def test_no_node_is_left_out_of_the_spelling(spark):
+    """Whatever is sent or joined: words of the table and others as by the whole tree, one by one and as a table."""
+    with open(P.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        data = f.read()
+    sub = attention_lm.Subwords(data, attention_lm.PATTERN)
+    words = [("bleores", 5), ("bleore", 1), ("blewhorly", 2), ("thwhorly", 9), ("thattish", 1), ("thattishly", 3)]
+    sent = spark.sparkContext.broadcast((data, attention_lm.PATTERN))
+    whole = attention_lm.Lexicon.of_words([w for w, _ in words], [n for _, n in words], sub)
+    asked = [*(w for w, _ in words), "bleor", "thatthat", "\u00e9\u00a0x", "x" * 50]
+    ids, first = sub.spell(asked)
+    wanted = whole.walk(ids, first)
+    for most in (0, 6, 1 << 19):
+        got, _ = attention_lm.learn_words(spark.createDataFrame(words, "word string, n long").repartition(3), sent, sub.size, most, most)
+        assert all(np.allclose(a, b) for a, b in zip(got.walk(ids, first), wanted, strict=True))
+        table = {r["word"]: r for r in got.of(spark.createDataFrame([(w,) for w in asked], "word string")).collect()}
+        assert len(table) == len(asked)
+        for i, w in enumerate(asked):
+            assert np.allclose(table[w]["direct"], wanted[0][first[i] : first[i + 1]]) and np.allclose(table[w]["back"], wanted[1][first[i] : first[i + 1]])
+            assert table[w]["stop"] == pytest.approx(wanted[2][i])
+
+
+def test_rare_words_are_scored_as_common_ones(docs, prose):
+    """What tasks know beforehand makes no difference to any score."""
+    pairs = [(i, prose(50, i, 30)) for i in range(20, 60)] + [(100, "zebra zebra quux zebra"), (101, "")]
+    out = F.pmod(F.col("doc_id"), F.lit(7)) == 2
+    scores = [{r["doc_id"]: r["score"] for r in attention_lm.score(docs(pairs), out, P.path("byte_bpe_50k.tiktoken"), bpe.PATTERN, top=top, rounds=0).collect()} for top in (1 << 18, 3, 0)]
+    assert scores[0] == pytest.approx(scores[1]) and scores[0] == pytest.approx(scores[2])
+
+
 def test_scores_are_those_of_the_forward_pass():
     """Window by window with ``forward``: the second hop of each window, each token once."""
     _, m = small_model()
