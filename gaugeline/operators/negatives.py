@@ -23,7 +23,9 @@ def mine(run: DataFrame, qrels: DataFrame, depth: int = 50, per_query: int = 10,
 
 
 def score_pairs(pairs: DataFrame, queries: DataFrame, corpus: DataFrame, scorer=containment) -> DataFrame:  # noqa: ANN001
-    """Adds ``ce_score`` by ``scorer(query column, passage column)``; null where a text is missing."""
+    """Adds ``ce_score`` by ``scorer(query column, passage column)``; null where a text is missing. Only texts of documents
+    in ``pairs`` are moved."""
+    corpus = corpus.join(pairs.select("doc_id"), "doc_id", "left_semi")
     with_texts = pairs.join(queries.select("query_id", F.col("text").alias("__q")), "query_id", "left").join(corpus.select("doc_id", F.col("full_text").alias("__p")), "doc_id", "left")
     return with_texts.withColumn("ce_score", F.when(F.col("__q").isNotNull() & F.col("__p").isNotNull(), scorer(F.col("__q"), F.col("__p")))).drop("__q", "__p")
 

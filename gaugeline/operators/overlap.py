@@ -12,8 +12,10 @@ from .ordered import running
 
 
 def pairs(queries: DataFrame, qrels: DataFrame, corpus: DataFrame, threshold: int = 1) -> DataFrame:
-    """(query_id, doc_id, query, passage) of gold pairs; missing documents and queries are left out."""
+    """(query_id, doc_id, query, passage) of gold pairs; missing documents and queries are left out. Only texts of gold
+    documents are moved."""
     gold = qrels.filter(F.col("grade") >= threshold).select("query_id", "doc_id")
+    corpus = corpus.join(gold.select("doc_id"), "doc_id", "left_semi")
     return gold.join(queries.select("query_id", F.col("text").alias("query")), "query_id").join(corpus.select("doc_id", F.col("full_text").alias("passage")), "doc_id")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import STOPWORDS
 from ..functions.text import exclusion_reason as reason_of
 from ..operators import aggregation, chunking, duplicates, inference, metrics, negatives, overlap, ranking
+from ..operators.ordered import written
 from ..operators.retrieval import BM25, Dense
 from . import frames
 from .config import RetrieverConfig
@@ -226,7 +227,11 @@ _COARSE = "coarse AS (SELECT query_id, doc_id, floor(score) AS score FROM run)"
 
 def _coarse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The run with scores cut to whole numbers: many ties."""
-    return frames.run(spark, sf_dir).withColumn("score", F.floor("score").cast("double"))
+    return _cut(frames.run(spark, sf_dir))
+
+
+def _cut(run: DataFrame) -> DataFrame:
+    return run.withColumn("score", F.floor("score").cast("double"))
 
 
 @query(f"WITH {_BM25}, {_COARSE} SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id DESC)::INT AS rank FROM coarse")
@@ -247,9 +252,15 @@ def truncate_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- metrics ---------------------------------------------------------------------------------------------
 
 
-def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _judged_run(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(run, judgments), both written: made once for a query."""
     qrels = frames.qrels(spark, sf_dir)
-    return metrics.evaluate(frames.run(spark, sf_dir), qrels, KS, complete=True)
+    return frames.run(spark, sf_dir, judgments=qrels), qrels
+
+
+def _scores(spark: SparkSession, sf_dir: str, qrels: DataFrame | None = None) -> DataFrame:
+    qrels = frames.qrels(spark, sf_dir) if qrels is None else qrels
+    return metrics.evaluate(frames.run(spark, sf_dir, judgments=qrels), qrels, KS, complete=True)
 
 
 def _metric(name: str, column: str) -> None:
@@ -278,39 +289,40 @@ def evaluate_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
 def retrieval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks, index, search, collapse, rank, score: macro means."""
     qrels = frames.qrels(spark, sf_dir)
-    chunks = chunking.chunk(frames.corpus(spark, sf_dir), chunking.FixedTokens())
+    chunks = written(chunking.chunk(frames.corpus(spark, sf_dir), chunking.FixedTokens()).select("chunk_id", "doc_id", "text"), "chunks")
     found = BM25().index(chunks).search(metrics.judged(frames.queries(spark, sf_dir), qrels), 100)
-    run = aggregation.to_documents(found, chunks)
+    run = aggregation.to_documents(found, chunks.join(found.select("chunk_id"), "chunk_id", "left_semi"))
     return _r(metrics.mean_scores(metrics.evaluate(run, qrels, KS, complete=True)), "recall", "mrr", "ndcg")
 
 
 @query(f"WITH {_BM25}, f AS (SELECT r.query_id, min(rank) AS found FROM ranked r JOIN qrels q ON q.query_id = r.query_id AND q.doc_id = r.doc_id GROUP BY r.query_id) SELECT DISTINCT q.query_id, coalesce(f.found, 0)::INT AS found FROM qrels q LEFT JOIN f ON f.query_id = q.query_id")
 def difficulty_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.first_relevant(frames.run(spark, sf_dir), frames.qrels(spark, sf_dir))
+    return metrics.first_relevant(*_judged_run(spark, sf_dir))
 
 
 @query(f"""WITH {_BM25}, f AS (SELECT r.query_id, min(rank) AS found FROM ranked r JOIN qrels q ON q.query_id = r.query_id AND q.doc_id = r.doc_id GROUP BY r.query_id),
 w AS (SELECT DISTINCT q.query_id, coalesce(f.found, 0) AS found FROM qrels q LEFT JOIN f ON f.query_id = q.query_id)
 SELECT CASE WHEN found = 1 THEN '1' WHEN found BETWEEN 2 AND 10 THEN '2-10' WHEN found BETWEEN 11 AND 100 THEN '11-100' ELSE 'none' END AS band, count(*) AS n FROM w WHERE found <= 100 GROUP BY 1""")
 def difficulty_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.difficulty_bands(metrics.first_relevant(frames.run(spark, sf_dir), frames.qrels(spark, sf_dir)))
+    return metrics.difficulty_bands(metrics.first_relevant(*_judged_run(spark, sf_dir)))
 
 
 @query(f"""WITH {_BM25}, f AS (SELECT r.query_id, min(rank) AS found FROM ranked r JOIN qrels q ON q.query_id = r.query_id AND q.doc_id = r.doc_id GROUP BY r.query_id),
 n AS (SELECT found, row_number() OVER (ORDER BY found) AS i, count(*) OVER () AS c FROM f) SELECT found::INT AS median FROM n WHERE i = c // 2 + 1""")
 def median_found_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return negatives.upper_median(metrics.first_relevant(frames.run(spark, sf_dir), frames.qrels(spark, sf_dir)).filter("found > 0"), "found")
+    return negatives.upper_median(metrics.first_relevant(*_judged_run(spark, sf_dir)).filter("found > 0"), "found")
 
 
 # --- overlap ---------------------------------------------------------------------------------------------
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overlap.pairs(frames.queries(spark, sf_dir), frames.qrels(spark, sf_dir), frames.corpus(spark, sf_dir))
+def _pairs(spark: SparkSession, sf_dir: str, qrels: DataFrame | None = None) -> DataFrame:
+    qrels = frames.qrels(spark, sf_dir) if qrels is None else qrels
+    return overlap.pairs(frames.queries(spark, sf_dir), qrels, frames.corpus(spark, sf_dir))
 
 
-def _best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overlap.per_query(overlap.score(_pairs(spark, sf_dir))).select("query_id", "doc_id", "jaccard", "containment")
+def _best(spark: SparkSession, sf_dir: str, qrels: DataFrame | None = None) -> DataFrame:
+    return written(overlap.per_query(overlap.score(_pairs(spark, sf_dir, qrels))).select("query_id", "doc_id", "jaccard", "containment"), "overlap")
 
 
 @query(f"WITH {_OVERLAP} SELECT query_id, doc_id, round(jaccard, 6) AS jaccard FROM scored")
@@ -352,8 +364,9 @@ def decile_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_EVAL}, {_DECILES.replace(_QRELS + ", ", "", 1)}
 SELECT d.decile, s.k, count(*) AS n, round(avg(d.jaccard), 6) AS mean_overlap, round(avg(s.recall), 6) AS mean FROM deciles d JOIN scores s USING (query_id) GROUP BY d.decile, s.k""")
 def stratified_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values = _scores(spark, sf_dir).select("query_id", F.col("k").alias("measure"), F.col("recall").alias("value"))
-    return _r(overlap.stratified(overlap.deciles(_best(spark, sf_dir)), values).withColumnRenamed("measure", "k"), "mean_overlap", "mean")
+    qrels = frames.qrels(spark, sf_dir)
+    values = _scores(spark, sf_dir, qrels).select("query_id", F.col("k").alias("measure"), F.col("recall").alias("value"))
+    return _r(overlap.stratified(overlap.deciles(_best(spark, sf_dir, qrels)), values).withColumnRenamed("measure", "k"), "mean_overlap", "mean")
 
 
 # --- near duplicates -------------------------------------------------------------------------------------
@@ -398,17 +411,24 @@ def dup_clusters_judged(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- inference -------------------------------------------------------------------------------------------
 
 
+def _overlap_and_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, jaccard, recall): recall at 10; written, as ranks read it several times."""
+    qrels = frames.qrels(spark, sf_dir)
+    both = _best(spark, sf_dir, qrels).join(_scores(spark, sf_dir, qrels).filter("k = 10"), "query_id")
+    return written(both.select("query_id", "jaccard", "recall"), "both")
+
+
 @query(f"""WITH {_EVAL}, {_OVERLAP.replace(_QRELS + ", ", "", 1)}, p AS (SELECT jaccard AS x, recall AS y FROM top JOIN scores USING (query_id) WHERE k = 10),
 r AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS a, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS b FROM p)
 SELECT CASE WHEN count(*) < 3 OR stddev_pop(a) = 0 OR stddev_pop(b) = 0 THEN 0 ELSE round(covar_pop(a, b) / (stddev_pop(a) * stddev_pop(b)), 6) END AS rho FROM r""")
 def spearman_point(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = _best(spark, sf_dir).join(_scores(spark, sf_dir).filter("k = 10"), "query_id")
+    both = _overlap_and_recall(spark, sf_dir)
     return _r(inference.spearman(both, "jaccard", "recall"), "rho")
 
 
 @query()
 def spearman_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = _best(spark, sf_dir).join(_scores(spark, sf_dir).filter("k = 10"), "query_id")
+    both = _overlap_and_recall(spark, sf_dir)
     return _r(inference.spearman_interval(both, "jaccard", "recall"), "rho", "lo", "hi")
 
 
@@ -432,8 +452,8 @@ def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _two(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Values of the sparse run, and of the same run with ties broken the other way on coarse scores."""
-    qrels = frames.qrels(spark, sf_dir)
-    return metrics.long_form(_scores(spark, sf_dir)), metrics.long_form(metrics.evaluate(_coarse(spark, sf_dir), qrels, KS, "docid_asc", complete=True))
+    run, qrels = _judged_run(spark, sf_dir)
+    return metrics.long_form(metrics.evaluate(run, qrels, KS, complete=True)), metrics.long_form(metrics.evaluate(_cut(run), qrels, KS, "docid_asc", complete=True))
 
 
 @query()
@@ -468,18 +488,20 @@ def h1_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- hard negatives --------------------------------------------------------------------------------------
 
 
-def _mined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return negatives.mine(frames.run(spark, sf_dir), frames.qrels(spark, sf_dir))
+def _mined(spark: SparkSession, sf_dir: str, qrels: DataFrame | None = None) -> DataFrame:
+    qrels = frames.qrels(spark, sf_dir) if qrels is None else qrels
+    return written(negatives.mine(frames.run(spark, sf_dir, judgments=qrels), qrels), "mined")
 
 
-def _flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return negatives.flag(negatives.score_pairs(_mined(spark, sf_dir), frames.queries(spark, sf_dir), frames.corpus(spark, sf_dir)), 0.5)
+def _flagged(spark: SparkSession, sf_dir: str, qrels: DataFrame | None = None) -> DataFrame:
+    return negatives.flag(negatives.score_pairs(_mined(spark, sf_dir, qrels), frames.queries(spark, sf_dir), frames.corpus(spark, sf_dir)), 0.5)
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(score, positive): gold pairs and mined ones."""
-    gold = negatives.score_pairs(frames.qrels(spark, sf_dir), frames.queries(spark, sf_dir), frames.corpus(spark, sf_dir))
-    return gold.select(F.round("ce_score", 9).alias("score"), F.lit(True).alias("positive")).union(_flagged(spark, sf_dir).select(F.round("ce_score", 9), F.lit(False)))
+    """(score, positive): gold pairs and mined ones; written, as places are found in two readings."""
+    qrels = frames.qrels(spark, sf_dir)
+    gold = negatives.score_pairs(qrels, frames.queries(spark, sf_dir), frames.corpus(spark, sf_dir))
+    return written(gold.select(F.round("ce_score", 9).alias("score"), F.lit(True).alias("positive")).union(_flagged(spark, sf_dir, qrels).select(F.round("ce_score", 9), F.lit(False))), "labelled")
 
 
 @query(f"WITH {_MINED} SELECT query_id, doc_id, rank::INT AS rank, round(score, 6) AS score FROM mined")
@@ -495,7 +517,8 @@ def suspected_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_LABELLED}, n AS (SELECT avg(ce) AS m, count(*) AS c FROM flagged WHERE NOT suspected), p AS (SELECT avg(score) AS m, count(*) AS c FROM gold)
 SELECT round(coalesce(n.m, 0), 6) AS mean_negative_containment, round(coalesce(p.m, 0), 6) AS mean_positive_containment, round(coalesce(n.m - p.m, 0), 6) AS gap, n.c AS n_negatives, p.c AS n_positives FROM n CROSS JOIN p""")
 def confusion_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = negatives.confusion(_flagged(spark, sf_dir), frames.queries(spark, sf_dir), frames.qrels(spark, sf_dir), frames.corpus(spark, sf_dir))
+    qrels = frames.qrels(spark, sf_dir)
+    out = negatives.confusion(written(_flagged(spark, sf_dir, qrels), "flagged"), frames.queries(spark, sf_dir), qrels, frames.corpus(spark, sf_dir))
     return _r(out, "mean_negative_containment", "mean_positive_containment", "gap")
 
 

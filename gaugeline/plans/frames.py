@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import full_text, split_words
 from ..operators import metrics
+from ..operators.ordered import written
 from ..operators.retrieval import BM25
 
 #: A query set above this many bytes is searched for in the texts part by part.
@@ -61,10 +62,11 @@ def mentions(docs: DataFrame, needles: DataFrame) -> DataFrame:
 
 
 def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_id, doc_id, grade): documents that hold an item word for word; one grade more for quality."""
+    """(query_id, doc_id, grade): documents that hold an item word for word; one grade more for quality. Written, so that
+    the documents are scanned once however often it is read."""
     gold = mentions(corpus(spark, sf_dir), queries(spark, sf_dir))
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("doc_id"), "quality")
-    return gold.join(labels, "doc_id", "left").select("query_id", "doc_id", (1 + F.coalesce("quality", F.lit(0))).cast("int").alias("grade"))
+    return written(gold.join(labels, "doc_id", "left").select("query_id", "doc_id", (1 + F.coalesce("quality", F.lit(0))).cast("int").alias("grade")), "qrels")
 
 
 def pseudo_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,9 +74,9 @@ def pseudo_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "doc_id", "text")
 
 
-def run(spark: SparkSession, sf_dir: str, k: int = 100) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str, k: int = 100, judgments: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, score): sparse search of the judged items in whole documents."""
-    asked = metrics.judged(queries(spark, sf_dir), qrels(spark, sf_dir))
+    asked = metrics.judged(queries(spark, sf_dir), qrels(spark, sf_dir) if judgments is None else judgments)
     return BM25().index(pseudo_chunks(spark, sf_dir)).search(asked, k).select("query_id", F.col("chunk_id").alias("doc_id"), "score")
 
 

@@ -57,6 +57,38 @@ def test_bm25(rows):
         BM25().search(chunks, 1)
 
 
+def test_bm25_against_brute_force(rows):
+    """Ties both ways, queries in blocks, repeated terms; what comes back was written, not a plan over the chunks."""
+    import math
+    import re
+
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 12, rng.integers(0, 9))) for _ in range(40)] * 3
+    asked = {str(q): " ".join(f"w{x}" for x in rng.integers(0, 14, 4)) for q in range(7)}
+    terms = {f"d{i}": re.findall(r"\w+", t) for i, t in enumerate(texts)}
+    df, mean = {t: sum(t in v for v in terms.values()) for t in {t for v in terms.values() for t in v}}, np.mean([len(v) for v in terms.values()])
+    idf = {t: math.log(1 + (len(texts) - n + 0.5) / (n + 0.5)) for t, n in df.items()}
+    chunks = rows([(f"d{i}", t) for i, t in enumerate(texts)], "chunk_id string, text string")
+    queries = rows([*asked.items(), ("none", "zzz")], "query_id string, text string")
+    for ties in ("trec", "docid_asc"):
+        want = set()
+        for q, text in asked.items():
+            all_ = [(round(sum(idf.get(t, 0) * v.count(t) / (v.count(t) + 0.9 * (0.6 + 0.4 * len(v) / mean)) for t in text.split()), 9), d) for d, v in terms.items()]
+            best = sorted(sorted((x for x in all_ if x[0] > 0), key=lambda x: x[1], reverse=ties == "trec"), key=lambda x: -x[0])[:5]
+            want |= {(q, d) for _, d in best}
+        for block in (3, 8192):
+            found = BM25(block=block).index(chunks).search(queries, 5, ties)
+            assert {(r["query_id"], r["chunk_id"]) for r in found.collect()} == want
+    assert "MapInArrow" not in found._jdf.queryExecution().toString()
+
+
+def test_judgments_are_found_once(spark):
+    """They are written, so no later reading scans the documents again."""
+    from gaugeline.plans import frames
+
+    assert "MapInArrow" not in frames.qrels(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+
+
 def test_dense_in_blocks(rows):
     x = np.random.default_rng(0).normal(size=(60, 8)).astype(np.float32)
     vectors_ = rows([(str(i), a.tolist()) for i, a in enumerate(x)], "chunk_id string, embedding array<float>")
