@@ -98,6 +98,21 @@ def test_dense_in_blocks(rows):
     assert got == {(str(i), str(j)) for i in range(10) for j in np.argsort(-(u[i] @ u.T))[:3]}
 
 
+def test_pairs_of_shingle_sets_against_brute_force(spark, rows):
+    """Near copies that share a template: exactly the pairs within the threshold; nothing read from them cuts texts anew."""
+    rng = np.random.default_rng(2)
+    template = [f"t{i}" for i in range(20)]
+    bodies = [[f"w{x}" for x in rng.integers(0, 400, int(rng.integers(5, 60)))] for _ in range(25)]
+    texts = [" ".join(template + b) for b in bodies] + [" ".join(template + b[:-1] + ["end"] * int(rng.integers(1, 9))) for b in bodies] + [" ".join(b[2:] + b[:1]) for b in bodies]
+    grams = {f"d{i}": {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} for i, w in enumerate(t.split() for t in texts) if len(w) >= 5}
+    corpus = rows([(f"d{i}", t) for i, t in enumerate(texts)], "doc_id string, text string").withColumn("full_text", F.col("text"))
+    got = duplicates.jaccard_pairs(corpus)
+    want = {(a, b) for a in grams for b in grams if a < b and grams[a] != grams[b] and len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b])}
+    assert {(r["doc_a"], r["doc_b"]) for r in got.collect()} == want and want
+    assert "MapInArrow" not in got._jdf.queryExecution().toString()
+    assert "MapInArrow" not in duplicates.minhash_pairs(corpus)._jdf.queryExecution().toString()
+
+
 def test_near_duplicates(rows):
     a = " ".join(f"w{i}" for i in range(60))
     corpus = rows([("1", a), ("2", a), ("3", a.replace("w59", "zz")), ("4", "other words entirely unlike the rest of them"), ("5", ""), ("6", "")], "doc_id string, text string").withColumn("full_text", F.col("text"))
