@@ -791,3 +791,28 @@ def test_shards_of_a_group_of_a_third_and_of_copies_only(docs):
         if r["doc_id"] >= 1000:
             both[(r["doc_id"] - 1000) % 800].add(r["shard"])
     assert sum(len(b) == 1 for b in both.values()) > 0.5 * 800
+
+
+@pytest.mark.parametrize("sent_pairs", [0, 1 << 20])
+def test_words_of_held_out_texts_come_along_and_count_nothing(docs, spark, sent_pairs):
+    """One row a word and none a node: words met in held-out texts alone have a count of 0 and are spelled by the others'
+    tree, however small the pieces are that it is taken in."""
+    with open(P.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        data = f.read()
+    sub, sent = attention_lm.Subwords(data, attention_lm.PATTERN), spark.sparkContext.broadcast((data, attention_lm.PATTERN))
+    texts = docs([(1, "bleores bleore thattish"), (2, "thattishly bleor thatthat bleores"), (3, "Bleores blewhorly thattish"), (4, None), (5, "x" * 40)])
+    rows = texts.select("doc_id", F.col("doc_id").isin(2, 5).alias("held_out"), "text").repartition(3, "doc_id").mapInArrow(attention_lm._gather(sent, 4, 3, 100, 1, paths=True), "kind int, word string, n long, ids binary, path binary").cache()
+    assert rows.filter(F.col("kind") == attention_lm.TEXTS).agg(F.sum("n")).head()[0] == 3
+    counts = {"bleores": 2, "bleore": 1, "thattish": 2, "blewhorly": 1}
+    asked = [*counts, "thattishly", "bleor", "thatthat", "x" * 40]
+    got, tokens = attention_lm.learn_words(rows.filter(F.col("kind") == attention_lm.WORD).select("word", "n", "path"), sent, sub.size, 1, sent_pairs)
+    ids, first = sub.spell(list(counts))
+    assert (tokens == np.bincount(ids, np.repeat(list(counts.values()), np.diff(first)), sub.size)).all()
+    table = got.every().collect()
+    assert {r["word"]: r["n"] for r in table} == {w: counts.get(w, 0) for w in asked} and len(table) == len(asked)
+    ids, first = sub.spell(asked)
+    direct, back, stop = attention_lm.Lexicon.of_words(list(counts), np.array(list(counts.values())), sub).walk(ids, first)
+    found = {r["word"]: r for r in table}
+    for i, w in enumerate(asked):
+        assert np.allclose(found[w]["direct"], direct[first[i] : first[i + 1]]) and np.allclose(found[w]["back"], back[first[i] : first[i + 1]])
+        assert found[w]["stop"] == pytest.approx(stop[i])
